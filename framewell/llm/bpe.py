@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 #: White space as Unicode defines it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORDS_HELD, _LONGEST_HELD = 1 << 18, 48
+_WORDS_HELD, _LONGEST_HELD = 1 << 19, 48
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -44,6 +44,25 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Held(dict):
+    """The results of short words, in two generations: those in use when one is full go on to the next."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of, self.old = of, {}
+
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.of(word)
+        if len(word) <= _LONGEST_HELD:
+            if len(self) >= _WORDS_HELD:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Bpe:
     """A vocabulary file with byte-level characters and word ends."""
 
@@ -69,46 +88,39 @@ class Bpe:
         end, chars = model["end_of_word_suffix"] or "", byte_chars()
         self.first = [vocab[c] for c in chars]
         self.last = [vocab[c + end] for c in chars]
-        self.merges = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.pairs = []
+        for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
-        self.held: dict[str, list[int]] = {}
+            self.pairs.append((vocab[a], vocab[b], vocab[a + b]))
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(self.pairs)}
+        self.held = Held(self.merge)
 
-    def merge(self, word: str) -> list[int]:
+    def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word."""
         data = word.encode("utf-8", "surrogatepass")
-        ids = [self.first[b] for b in data]
+        n, rank, first = len(data), self.ranks.get, self.first
+        ids = [first[b] for b in data]
         ids[-1] = self.last[data[-1]]
-        n, merges = len(ids), self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        ids.append(-1)  # stands after the last symbol and, as ids[-1], before the first
+        after, before = [*range(1, n + 1), n], [*range(-1, n)]
+        # An entry is rank * n + place: the lowest rank first, the leftmost place among equals.
+        queue = [r * n + i for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            rank, i, made = heapq.heappop(queue)
+            r, i = divmod(heapq.heappop(queue), n)
+            a, b, made = self.pairs[r]
             j = after[i]
-            # Stale: the left symbol is gone or last, or the pair is no longer the one that was queued.
-            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j]), (-1,))[0] != rank:
+            if ids[i] != a or ids[j] != b:  # stale: a neighbour's merge has changed either symbol
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = made, -2
             after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if m := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (m[0], i, m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], made))):
-                heapq.heappush(queue, (m[0], h, m[1]))
-        return [x for x in ids if x >= 0]
-
-    def word(self, word: str) -> list[int]:
-        if (known := self.held.get(word)) is not None:
-            return known
-        ids = self.merge(word)
-        if len(word) <= _LONGEST_HELD:
-            if len(self.held) >= _WORDS_HELD:
-                self.held.clear()
-            self.held[word] = ids
-        return ids
+            before[k] = i
+            if (r := rank((made, ids[k]))) is not None:
+                heapq.heappush(queue, r * n + i)
+            h = before[i]
+            if h >= 0 and (r := rank((ids[h], made))) is not None:
+                heapq.heappush(queue, r * n + h)
+        return tuple(x for x in ids if x >= 0)
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -132,10 +144,16 @@ class Bpe:
         return ids
 
     def _plain(self, text: str, ids: list[int]) -> None:
-        held, word = self.held, self.word
-        for w in self.words.findall(self.normalize(text)):
-            known = held.get(w)
-            ids += word(w) if known is None else known
+        for x in map(self.held.__getitem__, self.words.findall(self.normalize(text))):
+            ids += x
+
+    def count(self, text: str | None) -> int:
+        """Number of ids of a text without holding them."""
+        if not text:
+            return 0
+        if "<|" in text:
+            return len(self.encode(text))
+        return sum(map(len, map(self.held.__getitem__, self.words.findall(self.normalize(text)))))
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings; the file names no decoder, so one space joins them."""
