@@ -4,7 +4,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm import sql
-from framewell.llm.common import table
+from framewell.llm.common import shared_dir, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewell.llm.warc import RECORD, read, write
+
+    path = shared_dir(spark)
+    write(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.substr(F.col(c), F.lit(len(RECORD) + 1)).cast("long")
+    records = read(spark, path, payload=False)
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewell.llm.topk import quantize, top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantize("embedding").alias("v"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +50,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op4_url_filters, op6_mixing, op8_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op6_mixing, op8_token_counts)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_mixing": sql.MIXING}
+    return {"op1_warc": sql.WARC, "op2_top_k": sql.TOP_K, "op6_mixing": sql.MIXING}
