@@ -36,6 +36,21 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewell.llm.winnow import digest, edited, hashes, likeness
+
+    e = edited(table(spark, sf_dir, "documents"))
+    return e.select(
+        "doc_id",
+        F.col("_chars").alias("n_chars"),
+        F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
+        digest("_fp").alias("fingerprint"),
+        digest("_edited_fp").alias("edited_fingerprint"),
+        likeness(F.col("_hashes"), hashes("_edited_fp")).alias("near_edited"),
+        likeness(F.col("_hashes"), F.col("_next")).alias("near_next"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewell.llm.mixing import copies
 
@@ -50,7 +65,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op6_mixing, op8_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op8_token_counts)}
 
 
 def oracle_sql() -> dict:
