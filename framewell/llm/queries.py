@@ -64,8 +64,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewell.llm.jaccard import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op8_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op8_token_counts, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict:
