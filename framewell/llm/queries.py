@@ -58,6 +58,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewell.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewell.llm.token_count import token_counts
 
@@ -71,7 +77,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op8_token_counts, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op7_html_extraction, op8_token_counts, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict:
