@@ -1,11 +1,55 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: classify, remove near duplicates, mix, encode.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs has the columns of documents.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framewell.llm import bpe, cotrain, jaccard, mixing
+from framewell.llm.common import keep, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model, columns=COLUMNS).where("keep").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest id, once."""
+    # A null id can't stand for a group; such rows and those without words are kept as they are.
+    found = jaccard.components(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays"))
+    per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(per, F.col("doc_id") == F.col("_id"), "left").where("stays is null or stays")
+    # Rows that repeat a kept id: one of them.
+    several = joined.where("stays").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if several.isEmpty():
+        return joined.select(*COLUMNS)
+    return joined.where("stays").dropDuplicates(["doc_id"]).unionByName(joined.where("stays is null")).select(*COLUMNS)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix has it."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document's every copy, and the digest of what they decode to."""
+    return bpe.digests(docs)
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("mixing sources to target weights", mixing_weights), ("BPE encoding and decoding", encoding)]
+
+#: The classifier and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as a table in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -70,6 +70,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewell.llm.cotrain import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewell.llm.jaccard import components
 
@@ -77,7 +84,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op7_html_extraction, op8_token_counts, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_warc, op2_top_k, op3_bpe, op4_url_filters, op5_fingerprints, op6_mixing, op7_html_extraction, op8_token_counts, op9_quality, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict:
