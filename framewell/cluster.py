@@ -1,7 +1,8 @@
-"""Making the package importable on executors."""
+"""What a cluster needs: the package on its executors, and a folder that all of them see."""
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -28,3 +29,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("framewell", os.path.relpath(full, top)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where the session has none, as in tests, a folder of the warehouse is set.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/framewell-{uuid.uuid4().hex}"
