@@ -34,7 +34,8 @@ def input_list(text: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 255.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within bounds; null stays null, which greatest() and least() would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def luminance(c0: Column, c1: Column, c2: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewell.functions.scalars import LUMA
 from framewell.operators.ordered import CHUNK, history
@@ -36,7 +37,7 @@ def block_vectors(blocks: DataFrame, value: str = "block", chunk: int = CHUNK) -
     return history(blocks, "video_id", "fn", value, DEPTH, chunk).withColumn("features", vector("h0", "h1", "h2", "h3")).drop("h0", "h1", "h2", "h3")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def luminance_plane(data: pd.Series) -> pd.Series:
     """The luminances of a frame's pixels as float32 bytes."""
     w = np.array(LUMA, np.float32)
@@ -57,15 +58,15 @@ def planes(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return history(light, "video_id", "fn", "luma", DEPTH, chunk).drop("luma")
 
 
-def frame_blocks(frames: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """frames -> video_id, fn, by, bx, features; for training, on the frames that are trained on."""
+def blocks_of(with_planes: DataFrame) -> DataFrame:
+    """planes() -> video_id, fn, by, bx, features; for training, on the frames that are trained on."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
                 v = tile(np.stack([np.frombuffer(h, np.float32).reshape(r.height, r.width) for h in (r.h0, r.h1, r.h2, r.h3)]))
-                nx = max((r.width - 1) // BLOCK, 0)
+                nx = max((r.width - 1) // BLOCK, 1)
                 at = np.arange(len(v))
-                yield pd.DataFrame({"video_id": r.video_id, "fn": r.fn, "by": at // max(nx, 1), "bx": at % max(nx, 1), "features": list(v)})
+                yield pd.DataFrame({"video_id": r.video_id, "fn": r.fn, "by": at // nx, "bx": at % nx, "features": list(v)})
 
-    return planes(frames, chunk).mapInPandas(work, "video_id string, fn bigint, by int, bx int, features array<float>")
+    return with_planes.select("video_id", "fn", "width", "height", "h0", "h1", "h2", "h3").mapInPandas(work, "video_id string, fn bigint, by int, bx int, features array<float>")

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FRAMES = "video_id string, fn bigint, msec double, width int, height int, data binary"
 
@@ -150,7 +151,7 @@ def transform(frames: DataFrame, change) -> DataFrame:
     return readable.mapInPandas(work, FRAMES)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blend_images(p: pd.Series, s: pd.Series, alpha: pd.Series) -> pd.Series:
     """lerp() of the bytes of two images."""
 
