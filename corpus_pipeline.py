@@ -20,6 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id, once."""
+    docs = docs.select(*COLUMNS)
     # A null id can't stand for a group; such rows and those without words are kept as they are.
     found = jaccard.components(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays"))
     per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays")).withColumnRenamed("doc_id", "_id")

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewell.llm.common import as_text
+
 VOCABULARY = "word_bpe_49k.json"
 #: White space as Unicode defines it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -194,7 +196,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     Ids and decoded texts are several times the text and needn't leave the worker for their digests.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    sent, back = as_text(df.select(id_col, text_col), id_col)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path or default_path())
@@ -208,4 +210,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             out.insert(0, id_col, b[id_col].array)
             yield out
 
-    return df.select(id_col, text_col).mapInPandas(work, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return back(sent.mapInPandas(work, f"`{id_col}` string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -1,10 +1,10 @@
-"""What the operators share: the folder that all executors see, tables kept there, words."""
-
-import uuid
+"""What the operators share: tables kept in the folder that all executors see, words, ids on their way to Python."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewell.cluster import shared_dir
+
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -13,18 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session has none, as in tests, a folder of the warehouse is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/framewell-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, executors may go."""
     spark = df.sparkSession
@@ -43,3 +31,12 @@ def drop_kept(spark: SparkSession, *paths: str) -> None:
 
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def as_text(df: DataFrame, *columns: str):
+    """df with the columns as strings, and what turns a result's columns of those names back.
+
+    pandas holds integers with a null among them as floats, which would round ids of over 53 bits.
+    """
+    kinds = {c: df.schema[c].dataType for c in columns}
+    return df.withColumns({c: F.col(c).cast("string") for c in columns}), lambda out: out.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})

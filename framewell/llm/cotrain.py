@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewell.llm.common import as_text
+
 LABELLED, POOL, ROUNDS, GROW = 4000, 4000, 4, 0.1
 TEXT_BUCKETS, META_BUCKETS = 512, 64
 SEED = 9
@@ -225,7 +227,6 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def score(docs: DataFrame, model: CoTrained, keep_at: float = 0.5, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs -> the given columns, p_text, p_meta, score and keep (score >= keep_at)."""
-    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in columns]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -242,4 +243,5 @@ def score(docs: DataFrame, model: CoTrained, keep_at: float = 0.5, columns: tupl
             yield out
 
     views = [F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").cast("double").alias("_n")]
-    return docs.select(*columns, *views).mapInPandas(work, ", ".join(f"{c} {k}" for c, k in kinds) + ", p_text double, p_meta double, score double, keep boolean")
+    sent, back = as_text(docs.select(*columns, *views), *columns)
+    return back(sent.mapInPandas(work, ", ".join(f"`{c}` string" for c in columns) + ", p_text double, p_meta double, score double, keep boolean"))

@@ -27,6 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from framewell.llm.common import as_text
+
 #: HTML's block-level elements and those that never give text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -451,7 +453,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """pages -> id, url, text, n_chars."""
     model = model or trained()
     w, e = model.w, model.e
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
+    sent, back = as_text(pages.select(id_col, url_col, html_col), id_col)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(w, e)
@@ -461,4 +463,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 found += texts(m, b[html_col].iloc[i : i + 256].tolist())
             yield pd.DataFrame({id_col: b[id_col].array, url_col: b[url_col].array, "text": found, "n_chars": [len(x) for x in found]})
 
-    return pages.select(id_col, url_col, html_col).mapInPandas(work, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string, n_chars bigint")
+    return back(sent.mapInPandas(work, f"`{id_col}` string, `{url_col}` string, text string, n_chars bigint"))

@@ -7,8 +7,7 @@ never shuffled: only (source, size) sums and a table of one row per source are.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others;
 rows that repeat a doc_id share its draw; an empty table gives an empty result; a source whose
-documents are all empty gets target 0 and rate 0; columns of the input that bear the names used here
-are kept, as working names are prefixed.
+documents are all empty gets target 0 and rate 0; further columns of any name come along as they are.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,18 +65,17 @@ def draw(doc_id: str, seed: int) -> Column:
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies (long): how often the mix has each row."""
-    sized = docs.withColumn("_size", word_count(text_col))
-    targets = source_targets(sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), weights, share, most)
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    n = F.floor(rate) + (draw(id_col, seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copies", n).drop("_source")
+    """docs -> row (a struct of its columns), size, source_size, target, copies (long): how often the mix has it."""
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    targets = source_targets(sized.select("source", "size"), weights, share, most).select(F.col("source").alias("of"), "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
+    n = F.floor(rate) + (draw("id", seed) < rate - F.floor(rate)).cast("long")
+    return joined.select("row", "size", "source_size", "target", n.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: every row as often as copies() says, with the columns of docs."""
     c = copies(docs, **options)
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return c.where("_copies > 0").withColumn("_again", again).select(*docs.columns)
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return c.where("copies > 0").select("row", again.alias("again")).select("row.*")

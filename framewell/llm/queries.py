@@ -12,7 +12,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_dir(spark)
     write(table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.substr(F.col(c), F.lit(len(RECORD) + 1)).cast("long")
+    page = lambda c: F.substr(F.col(c), F.lit(len(RECORD) + 1)).try_cast("long")
     records = read(spark, path, payload=False)
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
@@ -55,7 +55,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewell.llm.mixing import copies
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return copies(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return copies(docs).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from framewell.llm.bpe import default_path
 from framewell.llm.bpe import load as load_bpe
+from framewell.llm.common import as_text
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: Only characters that every Unicode version counts as white space.
@@ -95,7 +96,7 @@ def count(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = 2048) -> DataFrame:
     """df -> id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    kind = df.schema[id_col].dataType.simpleString()
+    sent, back = as_text(df.select(id_col, text_col), id_col)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, bpe = load(path or default_path()), load_bpe(path or default_path())
@@ -106,4 +107,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n[i] = count(t, x, chunk, overlap) if len(x) > chunk else bpe.count(x)
             yield pd.DataFrame({id_col: b[id_col].array, "n_bytes": [len(x.encode("utf-8", "surrogatepass")) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
 
-    return df.select(id_col, text_col).mapInPandas(work, f"{id_col} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return back(sent.mapInPandas(work, f"`{id_col}` string, n_bytes bigint, n_tokens bigint, over_limit boolean"))

@@ -17,7 +17,7 @@ headers and decodes one frame at a time.  Version line, header syntax, mandatory
 Content-Length, the final CRLFs, the dictionary's id and block and payload digests are checked; a
 fault raises, or with strict=False gives a row with `error` and the archive's next record goes on.
 
-Defined results: null html is an empty payload; null urls leave WARC-Target-URI out; bytes of urls
+Defined results: null html is an empty payload; a null id is always a response, named null; null urls leave WARC-Target-URI out; bytes of urls
 that a header can't hold are percent-encoded; rows with one id and equal payloads of at least
 `least` bytes are each a response; an empty table gives archives without records; long payloads are
 held one at a time, next to their archive.
@@ -187,7 +187,7 @@ def _archive(batches: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFra
     for b in batches:
         out = []
         for page, url, html, sha1, refers in zip(b["_id"], b["_url"], b["_html"], b["_sha1"], b["_refers"]):
-            record = build_record(f"{RECORD}{page}", url, (html or "").encode("utf-8", "surrogatepass"), bytes.fromhex(sha1), f"{RECORD}{refers}" if refers else None)
+            record = build_record(f"{RECORD}{page or 'null'}", url, (html or "").encode("utf-8", "surrogatepass"), bytes.fromhex(sha1), f"{RECORD}{refers}" if refers else None)
             if packer:
                 out.append(packer.compress(record))
             else:
