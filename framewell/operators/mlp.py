@@ -102,10 +102,15 @@ def score_sql(features: Column, model: Model) -> Column:
     a = features
     for w in model.weights:
         rows = F.array(*[F.array(*[F.lit(float(x)) for x in w[:, j]]) for j in range(w.shape[1])])
-        a = F.transform(rows, lambda row, a=a: 1 / (1 + F.exp(-model.beta * F.aggregate(F.zip_with(a, row, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x))))
+        a = _layer_sql(a, rows, model.beta)
     return F.get(a, F.lit(0))
 
 
+def _layer_sql(a: Column, rows: Column, beta: float) -> Column:
+    dot = lambda row: F.aggregate(F.zip_with(a, row, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return F.transform(rows, lambda row: 1 / (1 + F.exp(-beta * dot(row))))
+
+
 def train(model: Model, examples: DataFrame, order: list[str], features: str = "features", label: str = "label") -> Model:
     """One pass of online steps in the given order, which is a sequence by nature.
 

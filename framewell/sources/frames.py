@@ -23,7 +23,9 @@ def read_images(spark: SparkSession, path: str, video_id: str, fps: float = 25.0
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     names = spark.read.format("binaryFile").load(path).select("path").withColumn("fn", F.row_number().over(Window.orderBy("path")) - 1)
     data = F.when((F.col("nChannels") == 3) & (F.col("height") > 0), F.col("data"))
-    joined = images.join(names, F.col("origin") == F.col("path"))
+    # The two sources write the slashes after a scheme differently.
+    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
+    joined = images.join(names, plain("origin") == plain("path"))
     return joined.select(F.lit(video_id).alias("video_id"), F.col("fn").cast("bigint").alias("fn"), (F.col("fn") * 1000.0 / fps).alias("msec"), "width", "height", data.alias("data"))
 
 
