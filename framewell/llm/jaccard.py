@@ -15,8 +15,8 @@ Two documents link when their sets of distinct word n-grams have a Jaccard simil
    first, and a class with enough of them has no partner; the others keep those of their prefix that
    occur elsewhere.
 4. Blocks.  Classes that share a prefix n-gram, directly or through others, are one block.  Every link
-   lies within a block.  A block is cut into chunks of at most `chunk` classes, in order of set size,
-   and each pair of chunks whose sizes can link is one group; a set goes only to its block's groups.
+   lies within a block.  A block of more than `chunk` classes is cut into chunks in order of set size,
+   and pairs of chunks are groups, but for those within its largest component: see _links().
 5. Signature trees.  A group builds a tree for each chunk: a leaf entry has its set's token bitmap, a
    node the OR of its entries' bitmaps, and the range of their sizes.  The dual traversal starts at
    the roots and drops a node pair if its size ranges can't link, if the greatest overlap that the
@@ -41,7 +41,9 @@ from framewell.llm.common import keep
 from framewell.llm.graph import connected_components
 
 N, SIMILARITY = 5, (75, 100)
-CHUNK = 2048
+CHUNK = 1024
+#: Components of a chunk that stand for it among a large block's chunks; it changes the cost, not the result.
+HEADS = 16
 BITS = 2048
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
@@ -239,13 +241,16 @@ class Tree:
         return self.levels[min(k, self.height)]
 
 
-def tree_join(left: Tree, right: Tree | None = None, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two trees' sets, or within one; right's numbers follow left's."""
+def tree_join(left: Tree, right: Tree | None = None, similarity: tuple[int, int] = SIMILARITY, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two trees' sets, or within one; right's numbers follow left's.
+
+    known has a number for each set, equal where sets are known to be connected already.
+    """
     same = right is None
     right = left if same else right
     shift = 0 if same else len(left.sets)
     sets = left.sets if same else left.sets + right.sets
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if known is None else known.copy()
     weight = np.minimum(left.weight, right.weight)  # the most tokens that two sets can share on a bit
     a, b = similarity
     links: list[tuple[int, int]] = []
@@ -285,26 +290,39 @@ def tree_join(left: Tree, right: Tree | None = None, similarity: tuple[int, int]
     return links
 
 
-def _group(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame:
-    """Blocks, or one pair of a block's chunks (block, side, cls, text) -> spanning links src, dst."""
+def _sets(b: pd.DataFrame, n: int) -> list[tuple[int, np.ndarray, int]]:
+    """(class, set, known component), near copies often side by side, since they often share their least hash."""
+    held = [(int(c), shingles(t, n), int(k)) for t, c, k in zip(b["text"], b["cls"], b["known"])]
+    return sorted(held, key=lambda x: (x[1][:1].tolist(), len(x[1]), x[0]))
+
+
+def _group(b: pd.DataFrame, n: int, similarity: tuple[int, int], use_known: bool = False) -> pd.DataFrame:
+    """Blocks, or one pair of a block's chunks (block, side, known, cls, text) -> spanning links src, dst."""
     src, dst = [], []
     for _, of in b.groupby("block", sort=False):
-        sides = []
-        for side in (0, 1):
-            own = of[of["side"] == side]
-            held = [(c, shingles(t, n)) for t, c in zip(own["text"], own["cls"])]
-            held.sort(key=lambda x: (x[1][:1].tolist(), len(x[1]), x[0]))  # near copies often share their least hash
-            sides.append(held)
-        left, right = sides
+        left, right = (_sets(of[of["side"] == side], n) for side in (0, 1))
         if not left:
             continue
-        names = [c for c, _ in left + right]
-        links = tree_join(Tree([s for _, s in left]), Tree([s for _, s in right]) if right else None, similarity)
+        names = [c for c, _, _ in left + right]
+        known = np.unique([k for _, _, k in left + right], return_inverse=True)[1] if use_known else None
+        links = tree_join(Tree([s for _, s, _ in left]), Tree([s for _, s, _ in right]) if right else None, similarity, known)
         src += [names[u] for u, _ in links]
         dst += [names[v] for _, v in links]
     return pd.DataFrame({"src": pd.Series(src, dtype="int64"), "dst": pd.Series(dst, dtype="int64")})
 
 
+def _label(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame:
+    """One chunk (cls, text) -> each class and the least class of its component within the chunk."""
+    sets = _sets(b.assign(known=0), n)
+    names = np.array([c for c, _, _ in sets], np.int64)
+    label = np.arange(len(names))
+    for u, v in tree_join(Tree([s for _, s, _ in sets]), None, similarity):
+        label[label == label[v]] = label[u]
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, names)
+    return pd.DataFrame({"cls": names, "label": least[label]})
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, part_chars: int = 16 << 20) -> DataFrame:
     """docs -> one row each: id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -332,32 +350,68 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame, n: int, similarity: tuple[int, int], chunk: int) -> DataFrame:
-    """Spanning links within the blocks."""
-    a, b = similarity
-    sized = blocks.join(known.select("cls", "n"), "cls").join(of.select("cls", "first"), "cls")
-    total = sized.groupBy("block").agg(F.count("*").alias("m"))
-    by_size = sized.groupBy("block", "n").agg(F.count("*").alias("k"))
-    before = F.sum("k").over(Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+def _numbered(sized: DataFrame, by: list[str], chunk: int) -> DataFrame:
+    """sized(cls, n, ...) with m, the number of classes of its `by`, and chunk, its number in order of n.
+
+    A size with more sets than a chunk holds has several chunks, and its sets are dealt by hash; so no
+    set's rank is needed, only each size's.
+    """
+    total = sized.groupBy(*by).agg(F.count("*").alias("m"))
+    by_size = sized.groupBy(*by, "n").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     by_size = by_size.withColumn("before", F.coalesce(before, F.lit(0)))
-    placed = sized.join(total, "block").join(by_size, ["block", "n"])
-    # A size with more sets than a chunk holds has several chunks, and its sets are dealt by hash.
     spread = F.pmod(F.xxhash64("cls"), F.greatest(F.ceil(F.col("k") / chunk), F.lit(1)))
-    placed = placed.withColumn("chunk", F.when(F.col("m") > chunk, F.floor(F.col("before") / chunk) + spread).cast("long"))
-    placed = keep(placed.select("cls", "first", "block", "n", "chunk"))
-    few = placed.where("chunk is null").count()
-    bins = max(-(-few // (chunk // 2)), 1)
-    # Blocks of one chunk: several to a group, so that a group is worth its overhead.
-    small = placed.where("chunk is null").select("cls", "first", "block", F.lit(0).alias("side"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"), F.lit(-1).cast("long").alias("one"), F.lit(-1).cast("long").alias("two"))
-    chunks = placed.where("chunk is not null").groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = chunks.select("block", F.col("chunk").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = chunks.withColumnRenamed("chunk", "one").join(other, "block").where((F.col("one") <= F.col("two")) & (b * F.col("hi") >= a * F.col("lo2")) & (b * F.col("hi2") >= a * F.col("lo")))
-    side = lambda c, k: F.struct(F.col(c).alias("chunk"), F.lit(k).alias("side"))
+    placed = sized.join(total, by).join(by_size, [*by, "n"])
+    return placed.withColumn("chunk", (F.floor(F.col("before") / chunk) + spread).cast("long")).drop("k", "before")
+
+
+def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame, n: int, similarity: tuple[int, int], chunk: int) -> DataFrame:
+    """Spanning links within the blocks.
+
+    Blocks of one chunk share groups.  A larger block is joined in three steps, so that its largest
+    set of near copies, which may hold a third of all rows, costs no more than its size: each chunk in
+    itself; then the first of each chunk's largest components with each other; then only what isn't in
+    the block's largest component by now, with itself and with the rest of the block.
+    """
+    texts = lambda dealt: keyed.join(dealt.withColumnRenamed("cls", "_cls"), F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).drop("_cls", "id", "first")
+    edges = "src bigint, dst bigint"
+    sized = blocks.join(known.select("cls", "n"), "cls").join(of.select("cls", "first"), "cls")
+    placed = keep(_numbered(sized, ["block"], chunk))
+    small, large = placed.where(F.col("m") <= chunk), placed.where(F.col("m") > chunk)
+    bins = max(-(-small.count() // (chunk // 2)), 1)
+    small = small.select("cls", "first", "block", F.lit(0).alias("side"), F.lit(0).alias("known"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
+    found = texts(small).groupBy("bin").applyInPandas(lambda g: _group(g, n, similarity), edges)
+    if large.isEmpty():
+        return found
+
+    inside = texts(large.select("cls", "first", "block", "chunk")).groupBy("block", "chunk").applyInPandas(lambda g: _label(g, n, similarity), "cls bigint, label bigint")
+    inside = keep(inside)
+    large = large.join(inside, "cls")
+    found = found.unionByName(inside.select(F.col("cls").alias("src"), F.col("label").alias("dst")))
+
+    per = large.groupBy("block", "chunk", "label").agg(F.count("*").alias("c"))
+    first = per.withColumn("rank", F.row_number().over(Window.partitionBy("block", "chunk").orderBy(F.desc("c"), "label"))).where(F.col("rank") <= HEADS)
+    groups = per.groupBy("block").agg(F.max("chunk").alias("last"))
+    heads = first.join(groups, "block").select(F.col("label").alias("cls"), "block", F.pmod(F.xxhash64("chunk"), F.floor((F.col("last") + 1) * HEADS / chunk) + 1).alias("bin"), F.lit(0).alias("side"), F.lit(0).alias("known"))
+    met = texts(heads.join(of.select("cls", "first"), "cls")).groupBy("block", "bin").applyInPandas(lambda g: _group(g, n, similarity), edges)
+    met = keep(met)
+    found = found.unionByName(met)
+
+    named = large.join(connected_components(met).select(F.col("node").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component", "chunk", "m")
+    most = named.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
+    named = named.join(most, "block").withColumn("rest", (F.col("label") != F.col("most")).cast("int"))
+    again = keep(_numbered(named.drop("most"), ["block", "rest"], chunk))
+
+    a, b = similarity
+    # A number for each chunk, those of the rest after those of the largest component.
+    chunks = again.groupBy("block", "rest", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("one_label"), F.max("label").alias("last_label"))
+    here = chunks.select("block", F.struct("rest", "chunk").alias("one"), F.col("lo"), F.col("hi"), F.col("one_label").alias("l1"), F.col("last_label").alias("h1"))
+    there = chunks.where("rest = 1").select("block", F.struct("rest", "chunk").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("one_label").alias("l2"), F.col("last_label").alias("h2"))
+    one_component = (F.col("l1") == F.col("h1")) & (F.col("l2") == F.col("h2")) & (F.col("l1") == F.col("l2"))
+    pairs = here.join(there, "block").where((F.col("one") <= F.col("two")) & (b * F.col("hi") >= a * F.col("lo2")) & (b * F.col("hi2") >= a * F.col("lo")) & ~one_component)
+    side = lambda c, k: F.struct(F.col(c).alias("place"), F.lit(k).alias("side"))
     sides = pairs.select("block", "one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(side("one", 0))).otherwise(F.array(side("one", 0), side("two", 1)))).alias("s"))
-    sides = sides.select("block", F.col("s.chunk").alias("chunk"), F.col("s.side").alias("side"), "one", "two")
-    large = placed.where("chunk is not null").join(sides, ["block", "chunk"]).select("cls", "first", "block", "side", F.lit(-1).cast("long").alias("bin"), "one", "two")
-    dealt = small.unionByName(large)
-    members = keyed.join(dealt.withColumnRenamed("cls", "_cls"), F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls")))
-    key = F.when(F.col("bin") >= 0, F.lit(0)).otherwise(F.col("block"))
-    members = members.select("cls", "text", "block", "side", "bin", key.alias("of"), "one", "two")
-    return members.groupBy("bin", "of", "one", "two").applyInPandas(lambda g: _group(g, n, similarity), "src bigint, dst bigint")
+    sides = sides.select("block", F.col("s.place.rest").alias("rest"), F.col("s.place.chunk").alias("chunk"), F.col("s.side").alias("side"), "one", "two")
+    dealt = again.join(sides, ["block", "rest", "chunk"]).select("cls", "first", "block", "side", F.col("label").alias("known"), "one", "two")
+    rest = texts(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: _group(g, n, similarity, True), edges)
+    return found.unionByName(rest)

@@ -88,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": sql.WARC, "op2_top_k": sql.TOP_K, "op6_mixing": sql.MIXING}
+    return {"op1_warc": sql.WARC, "op2_top_k": sql.TOP_K, "op4_url_filters": sql.URL_FILTERS, "op6_mixing": sql.MIXING, "op10_ngram_jaccard": sql.JACCARD}

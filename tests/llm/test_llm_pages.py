@@ -204,3 +204,20 @@ def test_extraction(spark):
     assert by[1]["n_chars"] == len(by[1]["text"]) and by[None]["text"] == by[1]["text"]
     assert by[2]["text"] == by[3]["text"] == "" and by[5]["n_chars"] == 2 * 300000 - 1
     assert html_extract.extract(pages(spark, [])).count() == 0
+
+
+def test_judgement_is_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from framewell.llm import sql
+
+    canonical = lambda to: f"<link href='{to}' REL=canonical>"
+    rows = [(i, f"http://h{i % 7}.example.{'com net org'.split()[i % 3]}/{'en de es'.split()[i % 2]}/{i}#x", canonical(f"http://free{i % 5}.io/p") if i % 3 else None) for i in range(60)]
+    rows += [(100 + i, f"http://free{i}.io/p", "<meta content='3;url=q/r' http-equiv=refresh>") for i in range(6)] + [(200, None, None), (201, "x", "<p>")]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    names = ["page_id", "host", "path", "rule", "verdict", "inherited"]
+    theirs = con.sql(sql.URL_FILTERS).select(", ".join(names)).fetchall()
+    own = [tuple(r) for r in url_filter.judge(spark, pages(spark, rows)).select(*names).collect()]
+    assert sorted(map(repr, own)) == sorted(map(repr, theirs)) and any(r[-1] for r in own)
