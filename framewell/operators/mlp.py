@@ -81,7 +81,7 @@ class Model:
         for layer, w in enumerate(self.weights):
             i, j = np.indices(w.shape)
             parts.append(pd.DataFrame({"layer": layer, "i": i.ravel(), "j": j.ravel(), "w": w.ravel().astype(np.float64)}))
-        return spark.createDataFrame(pd.concat(parts).astype({"layer": "int32", "i": "int32", "j": "int32"}))
+        return spark.createDataFrame(pd.concat(parts), "layer int, i int, j int, w double")
 
 
 def score(df: DataFrame, model: Model, features: str = "features", name: str = "output", dtype=np.float32) -> DataFrame:

@@ -49,6 +49,37 @@ BLOCKS = """hist AS (
 )"""
 
 
+STREAM_REPAIR = "WITH RECURSIVE " + SERIES + """, videos AS (SELECT 'v' || (fn // 500) AS video_id, fn % 500 AS fn, marked, value FROM series),
+numbered AS (
+  SELECT video_id, min(fn) AS a, max(fn) AS b, row_number() OVER (PARTITION BY video_id ORDER BY min(fn)) AS k
+  FROM (SELECT video_id, fn, fn - row_number() OVER (PARTITION BY video_id ORDER BY fn) AS run FROM videos WHERE marked) GROUP BY video_id, run
+), total AS (SELECT video_id, max(fn) + 1 AS n FROM videos GROUP BY video_id),
+fold AS (
+  SELECT video_id, n, 0::BIGINT AS k, 0::BIGINT AS c, NULL::BIGINT AS last, NULL::BIGINT AS st, NULL::BIGINT AS b, NULL::BIGINT AS prev, NULL::BIGINT AS src, false AS emitted FROM total
+  UNION ALL
+  SELECT f.video_id, f.n, i.k,
+    CASE WHEN i.b < f.c THEN f.c WHEN i.b + 2 < f.n THEN i.b + 3 ELSE i.b + 1 END,
+    CASE WHEN i.b < f.c THEN f.last ELSE greatest(i.a, f.c) END,
+    greatest(i.a, f.c), i.b,
+    CASE WHEN f.last IS NOT NULL AND greatest(i.a, f.c) = f.c THEN f.last WHEN greatest(i.a, f.c) > 0 THEN greatest(i.a, f.c) - 1 END,
+    CASE WHEN i.b + 2 < f.n THEN i.b + 2 END, i.b >= f.c
+  FROM fold f JOIN numbered i ON i.video_id = f.video_id AND i.k = f.k + 1
+), segments AS (
+  SELECT video_id, st, b, prev, src, CASE WHEN src IS NOT NULL THEN b - st + 2 ELSE b - st + 1 END AS n, b - st + 3 AS div FROM fold WHERE emitted
+), made AS (
+  SELECT s.video_id, st AS place, i, CASE WHEN s.src IS NULL THEN coalesce(p.value, o.value) ELSE
+    trunc(greatest(0.0, least(255.0, coalesce(p.value, q.value)::DOUBLE * (1 - i::DOUBLE / div) + q.value::DOUBLE * (i::DOUBLE / div))))::INTEGER END AS value,
+    CASE WHEN s.src IS NULL THEN 'hold' ELSE 'blend' END AS kind
+  FROM (SELECT *, unnest(range(n)) AS i FROM segments) s
+  LEFT JOIN videos p ON p.video_id = s.video_id AND p.fn = s.prev LEFT JOIN videos q ON q.video_id = s.video_id AND q.fn = s.src LEFT JOIN videos o ON o.video_id = s.video_id AND o.fn = s.st + s.i
+), taken AS (SELECT video_id, unnest(range(st, coalesce(src, b) + 1)) AS fn FROM segments),
+every AS (
+  SELECT video_id, place, i, value, kind FROM made
+  UNION ALL SELECT v.video_id, v.fn, 0, value, 'copy' FROM videos v LEFT JOIN taken t ON t.video_id = v.video_id AND t.fn = v.fn WHERE t.fn IS NULL
+)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY place, i) - 1 AS out_fn, value, kind FROM every"""
+
+
 def _layer(name: str, of: str, n_in: int, n_out: int, layer: int) -> str:
     w = f"((i * 31 + j * 17 + {7 * layer}) % 201 - 100) / 1000.0::DOUBLE"
     return f"{name} AS (SELECT fn, list_transform(range({n_out}), lambda j: 1 / (1 + exp(-list_sum(list_transform(range({n_in}), lambda i: v[i + 1] * {w}))))) AS v FROM {of})"
@@ -112,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "input_concat": f"WITH {SERIES}, total AS (SELECT count(*) AS n, count(*) // 2 AS half FROM series) SELECT CASE WHEN fn >= half THEN fn - half ELSE fn + n - half END AS fn, value FROM series, total",
         "frame_counts": f"WITH {SERIES} SELECT 'v-' || (value % 7) AS video_id, count(*) AS n_frames FROM series WHERE NOT marked GROUP BY 1",
         "block_history": f"WITH {BLOCKS} SELECT fn, 257 AS n, {h('h0[1]', 'h0')}, {h('h1[1]', 'h1')}, {h('h2[1]', 'h2')}, {h('h3[1]', 'h3')}, {h('h3[64]', 'last')}, -1.0::DOUBLE AS bias FROM hist",
-        "block_grid": f"WITH {_GEOMETRY} SELECT width, height, ((width - 1) // 8) * ((height - 1) // 8) AS blocks, 8 * ((width - 1) // 8 - 1) AS last_x, 8 * ((height - 1) // 8 - 1) AS last_y FROM geometry WHERE width > 8 AND height > 8",
+        "block_grid": f"WITH {_GEOMETRY} SELECT width, height, (((width - 1) // 8) * ((height - 1) // 8))::BIGINT AS blocks, 8 * ((width - 1) // 8 - 1) AS last_x, 8 * ((height - 1) // 8 - 1) AS last_y FROM geometry WHERE width > 8 AND height > 8",
         "luminance": f"WITH {IMAGE} SELECT fn, x, y, round((0.2126::DOUBLE * b + 0.7512::DOUBLE * g + 0.0722::DOUBLE * r) / 255, 4) AS luma FROM pixels",
         "rotate_90": _rotate("23 - y", "x"),
         "rotate_180": _rotate("23 - x", "23 - y"),
@@ -143,5 +174,6 @@ def oracle_sql() -> dict[str, str]:
 SELECT video_id, unnest(marks) AS fn FROM done""",
         "marked_file_round_trip": f"WITH {SERIES} SELECT fn FROM series WHERE marked",
         "model_file_round_trip": "SELECT layer::INTEGER AS layer, i::INTEGER AS i, j::INTEGER AS j, round(((i * 31 + j * 17 + layer * 7) % 201 - 100) / 1000.0::DOUBLE, 4) AS w FROM (SELECT 0 AS layer, i, j FROM range(5) a(i), range(4) b(j) UNION ALL SELECT 1, i, j FROM range(4) a(i), range(3) b(j) UNION ALL SELECT 2, i, j FROM range(3) a(i), range(2) b(j))",
+        "stream_repair": STREAM_REPAIR,
         "stream_history": f"WITH {SERIES}, v AS (SELECT 'v' || (fn // 500) AS video_id, fn % 500 AS fn, value FROM series) SELECT video_id, fn, value AS h0, coalesce(lag(value, 1) OVER w, first_value(value) OVER w) AS h1, coalesce(lag(value, 2) OVER w, first_value(value) OVER w) AS h2, coalesce(lag(value, 3) OVER w, first_value(value) OVER w) AS h3 FROM v WINDOW w AS (PARTITION BY video_id ORDER BY fn)",
     }
