@@ -1,7 +1,7 @@
 """What a cluster needs: the package on its executors, and a folder that all of them see."""
 
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 
@@ -20,13 +20,19 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="framewell-"), "framewell.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(top):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("framewell", os.path.relpath(full, top)))
+    # Through Spark's file systems, as the shared folder may be in any of them.
+    path = f"{shared_dir(spark)}/framewell.zip"
+    to = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 
