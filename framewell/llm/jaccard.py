@@ -22,7 +22,7 @@ Two documents link when their sets of distinct word n-grams have a Jaccard simil
    the roots and drops a node pair if its size ranges can't link, if the greatest overlap that the
    bitmaps allow is less than what the smallest sizes need, or if both nodes lie in one component
    already, since a further link would change nothing.  Entry pairs that are left are compared
-   exactly.  A group returns a spanning forest of its links, never all pairs.
+   exactly.  A group returns each component's classes with its least one, never all pairs.
 6. Components over the groups' forests.
 
 Defined results: null texts and texts without words have an empty set and link with nothing, not
@@ -297,30 +297,37 @@ def _sets(b: pd.DataFrame, n: int) -> list[tuple[int, np.ndarray, int]]:
 
 
 def _group(b: pd.DataFrame, n: int, similarity: tuple[int, int], use_known: bool = False) -> pd.DataFrame:
-    """Blocks, or one pair of a block's chunks (block, side, known, cls, text) -> spanning links src, dst."""
+    """Blocks, or one pair of a block's chunks (block, side, known, cls, text) -> links src, dst to the least of each component."""
     src, dst = [], []
     for _, of in b.groupby("block", sort=False):
         left, right = (_sets(of[of["side"] == side], n) for side in (0, 1))
         if not left:
             continue
-        names = [c for c, _, _ in left + right]
+        names = np.array([c for c, _, _ in left + right], np.int64)
         known = np.unique([k for _, _, k in left + right], return_inverse=True)[1] if use_known else None
         links = tree_join(Tree([s for _, s, _ in left]), Tree([s for _, s, _ in right]) if right else None, similarity, known)
-        src += [names[u] for u, _ in links]
-        dst += [names[v] for _, v in links]
-    return pd.DataFrame({"src": pd.Series(src, dtype="int64"), "dst": pd.Series(dst, dtype="int64")})
+        least = _least(names, links)
+        src.append(names[names != least])
+        dst.append(least[names != least])
+    none = [np.empty(0, np.int64)]
+    return pd.DataFrame({"src": np.concatenate(src or none), "dst": np.concatenate(dst or none)})
 
 
-def _label(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame:
-    """One chunk (cls, text) -> each class and the least class of its component within the chunk."""
-    sets = _sets(b.assign(known=0), n)
-    names = np.array([c for c, _, _ in sets], np.int64)
+def _least(names: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    """The least name of each set's component."""
     label = np.arange(len(names))
-    for u, v in tree_join(Tree([s for _, s, _ in sets]), None, similarity):
+    for u, v in links:
         label[label == label[v]] = label[u]
     least = np.full(len(names), np.iinfo(np.int64).max)
     np.minimum.at(least, label, names)
-    return pd.DataFrame({"cls": names, "label": least[label]})
+    return least[label]
+
+
+def _label(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame:
+    """One chunk (cls, text) -> each class and the least class of its component within the chunk."""
+    sets = _sets(b.assign(known=0), n)
+    names = np.array([c for c, _, _ in sets], np.int64)
+    return pd.DataFrame({"cls": names, "label": _least(names, tree_join(Tree([s for _, s, _ in sets]), None, similarity))})
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, part_chars: int = 16 << 20) -> DataFrame:
