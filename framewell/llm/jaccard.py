@@ -380,7 +380,8 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     itself; then the first of each chunk's largest components with each other; then only what isn't in
     the block's largest component by now, with itself and with the rest of the block.
     """
-    texts = lambda dealt: keyed.join(dealt.withColumnRenamed("cls", "_cls"), F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).drop("_cls", "id", "first")
+    # Never a broadcast: the classes of blocks grow with the corpus, so the plan is one and the same at every size.
+    texts = lambda dealt: keyed.join(dealt.withColumnRenamed("cls", "_cls").hint("merge"), F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).drop("_cls", "id", "first")
     edges = "src bigint, dst bigint"
     sized = blocks.join(known.select("cls", "n"), "cls").join(of.select("cls", "first"), "cls")
     placed = keep(_numbered(sized, ["block"], chunk))
