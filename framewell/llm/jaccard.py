@@ -56,7 +56,7 @@ class _Words(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 32:
-            if len(self) >= 1 << 19:
+            if len(self) >= 1 << 18:
                 self.clear()
             self[word] = h
         return h
@@ -338,7 +338,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = keep(keyed.groupBy("cls").agg(F.min("id").alias("first"), F.first(F.char_length("text")).alias("chars")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(of.agg(F.sum("chars")).first()[0] or 0) // part_chars))
 
-    packed = keyed.select("text", "cls").mapInPandas(lambda it: _pack(it, n, parts, 4 << 20), "part int, data binary, owners int, grams int")
+    packed = keyed.select("text", "cls").mapInPandas(lambda it: _pack(it, n, parts, 2 << 20), "part int, data binary, owners int, grams int")
     counted = packed.groupBy("part").applyInPandas(lambda b: _count(b, parts), "to int, part int, data binary, owners int, grams int")
     known = keep(counted.groupBy("to").applyInPandas(lambda b: _prefix(b, similarity), "cls bigint, n bigint, grams array<bigint>"))
 
