@@ -7,19 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm import bpe, cotrain, jaccard, mixing
-from framewell.llm.common import keep, table
+from framewell.llm.common import keep, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
+    small_batches(spark)
     model = cotrain.fit(docs, table(spark, sf_dir, "labels"))
     return cotrain.score(docs, model, columns=COLUMNS).where("keep").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id, once."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     # A null id can't stand for a group; such rows and those without words are kept as they are.
     found = jaccard.components(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays"))
@@ -39,6 +41,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document's every copy, and the digest of what they decode to."""
+    small_batches(spark)
     return bpe.digests(docs)
 
 

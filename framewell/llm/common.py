@@ -10,9 +10,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of `rows`, where the session has Spark's default of ten times as many.
+
+    A worker and its executor each hold a batch or two, and texts are long.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def keep(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, executors may go."""
     spark = df.sparkSession

@@ -45,7 +45,7 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         b = _bucket(word, TEXT_BUCKETS)
         if len(word) <= 32:
-            if len(self) >= 1 << 19:
+            if len(self) >= 1 << 17:
                 self.clear()
             self[word] = b
         return b
@@ -241,6 +241,7 @@ def score(docs: DataFrame, model: CoTrained, keep_at: float = 0.5, columns: tupl
             out["p_text"], out["p_meta"], out["score"] = p[:, 0], p[:, 1], p[:, 2]
             out["keep"] = p[:, 2] >= keep_at
             yield out
+        _buckets.clear()  # workers are used again by other stages
 
     views = [F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").cast("double").alias("_n")]
     sent, back = as_text(docs.select(*columns, *views), *columns)
