@@ -56,7 +56,7 @@ class _Words(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 32:
-            if len(self) >= 1 << 18:
+            if len(self) >= 1 << 17:
                 self.clear()
             self[word] = h
         return h
@@ -142,6 +142,7 @@ def _pack(batches: Iterator[pd.DataFrame], n: int, parts: int, most: int) -> Ite
                     cls, sets, held = [], [], 0
     if cls:
         yield flush()
+    _words.clear()  # workers are used again by other stages
 
 
 def _width(parts: int) -> np.uint64:
@@ -330,7 +331,7 @@ def _label(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame
     return pd.DataFrame({"cls": names, "label": _least(names, tree_join(Tree([s for _, s, _ in sets]), None, similarity))})
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, part_chars: int = 16 << 20) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, part_chars: int = 8 << 20) -> DataFrame:
     """docs -> one row each: id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -338,7 +339,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = keep(keyed.groupBy("cls").agg(F.min("id").alias("first"), F.first(F.char_length("text")).alias("chars")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(of.agg(F.sum("chars")).first()[0] or 0) // part_chars))
 
-    packed = keyed.select("text", "cls").mapInPandas(lambda it: _pack(it, n, parts, 2 << 20), "part int, data binary, owners int, grams int")
+    packed = keyed.select("text", "cls").mapInPandas(lambda it: _pack(it, n, parts, 1 << 20), "part int, data binary, owners int, grams int")
     counted = packed.groupBy("part").applyInPandas(lambda b: _count(b, parts), "to int, part int, data binary, owners int, grams int")
     known = keep(counted.groupBy("to").applyInPandas(lambda b: _prefix(b, similarity), "cls bigint, n bigint, grams array<bigint>"))
 
