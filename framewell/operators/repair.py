@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.functions.scalars import lerp
+from framewell.operators.marks import within
 from framewell.operators.ordered import CHUNK, chunked, running_count
 
 
@@ -29,11 +30,14 @@ def islands(marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def segments(marks: DataFrame, videos: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """marks, videos(video_id, n_frames) -> what replaces what: video_id, st, b, prev, src, n, div.
 
+    Marks out of range are dropped one by one before runs are made, so a run that goes beyond the last
+    frame keeps its marks up to it.
+
     The cursor after a run is at b + 3 at most, so an island that begins beyond that doesn't depend on
     those before it.  Islands are folded in chains that such gaps end, not video by video.
     """
     w = Window.partitionBy("video_id").orderBy("a")
-    runs = islands(marks, chunk).join(videos.select("video_id", "n_frames"), "video_id").where("a >= 0 and b < n_frames")
+    runs = islands(within(marks, videos), chunk).join(videos.select("video_id", "n_frames"), "video_id")
     runs = runs.withColumn("_new", F.coalesce((F.col("a") > F.lag("b").over(w) + 3).cast("int"), F.lit(1)))
     runs = runs.withColumn("_chain", F.sum("_new").over(w))
     chains = runs.groupBy("video_id", "n_frames", "_chain").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))

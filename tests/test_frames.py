@@ -106,6 +106,15 @@ def test_interpolate_plan(spark):
     assert images.preview(f, m).count() == 9
 
 
+def test_interpolate_holds_a_damaged_tail(spark):
+    """The marks go beyond the last readable frame; those on readable frames still count."""
+    f, data = make_frames(spark, 10, 6, 5, skip=(9,))
+    m = spark.createDataFrame([("v", i) for i in (7, 8, 9)], "video_id string, fn bigint")
+    out = tools.interpolate(f, m).orderBy("out_fn").collect()
+    assert [r["kind"] for r in out] == ["copy"] * 7 + ["hold"] * 2
+    assert all(bytes(r["data"]) == data[6].tobytes() for r in out[7:])
+
+
 def brute_blocks(data, fn):
     """Feature vectors of one frame, pixel by pixel."""
     light = [np.clip(d.astype(np.float32) @ np.array(scalars.LUMA, np.float32) / np.float32(255), None, None) for d in data]

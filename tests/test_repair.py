@@ -71,6 +71,16 @@ def test_golden_segments(spark):
     assert found == [("a", 3, 4, 2, 6, 3, 4), ("b", 5, 5, 4, 7, 2, 3), ("b", 8, 8, 5, 10, 2, 3)]
 
 
+def test_marks_out_of_range_go_alone(spark):
+    videos = [("tail", list(range(10)), [i in (2, 8, 9) for i in range(10)]), ("head", list(range(8)), [i in (0, 1) for i in range(8)])]
+    f, m, n = tables(spark, videos)
+    m = m.unionByName(spark.createDataFrame([("tail", 10), ("tail", 11), ("tail", 30), ("head", -1), ("head", -2), ("none", 0)], "video_id string, fn bigint"))
+    assert sorted(tuple(r) for r in repair.segments(m, n).collect()) == [("head", 0, 1, None, 3, 3, 4), ("tail", 2, 2, 1, 4, 2, 3), ("tail", 8, 9, 7, None, 2, None)]
+    for v, values, flags in videos:
+        out = repair.repair(f.select("video_id", "fn", "value"), m, n).where(F.col("video_id") == v).orderBy("out_fn").collect()
+        assert [(r["value"], r["kind"]) for r in out] == loop(values, flags)
+
+
 def test_unmarked_input_is_its_output(spark):
     f, m, n = tables(spark, [("a", list(range(20)), [False] * 20)])
     out = repair.repair(f.select("video_id", "fn", "value"), m, n).orderBy("out_fn").collect()
