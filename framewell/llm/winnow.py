@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing.  DataFrame functions only.
 
-Tokens are runs of up to PIECE characters that aren't white space, so that text without spaces has
-tokens too.  Each K tokens in a row have a hash; of every WINDOW hashes in a row the least is chosen,
-the rightmost among equals, and the chosen (hash, position) pairs are the fingerprint.  So any match
-of at least K + WINDOW - 1 tokens shares a choice, and no match shorter than K tokens counts.
+Tokens are runs of characters that aren't white space; a run of more than PIECE characters has a token
+at each of its characters that PIECE characters follow from, so that text without spaces has tokens
+too and they don't depend on where a passage begins in its run.  Each K tokens in a row have a hash;
+of every WINDOW hashes in a row the least is chosen, the rightmost among equals, and the chosen (hash,
+position) pairs are the fingerprint.  So any match of at least K + WINDOW - 1 tokens shares a choice
+(within a run, PIECE + K + WINDOW - 2 characters), and no match shorter than K tokens counts.
 
 Hash and negated position share one long, so that the plain minimum of longs is the least hash with
 the rightmost place, and each choice is distinct by its place.
@@ -22,17 +24,33 @@ PIECE = 8
 PLACE_BITS = 29
 _PLACES = 1 << PLACE_BITS
 _HASHES = 1 << (63 - PLACE_BITS)
+#: White space, as the inside of a character class.
+_SPACE = r"\x20\x09-\x0D"
 
 
-def entries(df: DataFrame, text: str, name: str, piece: int = PIECE) -> DataFrame:
-    """df with the fingerprint of the column `text` as `name` array<long>.
+def tokens(text: Column, piece: int = PIECE, sliding: bool = True) -> Column:
+    """The tokens of a text as array<string>; without `sliding`, long runs are cut into pieces side by side.
+
+    Each match of the sliding form takes one character and looks ahead for the token that begins
+    there: `piece` characters, or a whole shorter run.
+    """
+    text = F.coalesce(text, F.lit(""))
+    if not sliding:
+        return F.regexp_extract_all(text, F.lit(rf"[^{_SPACE}]{{1,{piece}}}"), F.lit(0))
+    some = f"[^{_SPACE}]"
+    short = rf"|(?<!{some}){some}{{1,{piece - 1}}}(?!{some})" if piece > 1 else ""
+    return F.regexp_extract_all(text, F.lit(rf"(?=({some}{{{piece}}}{short})){some}"), F.lit(1))
+
+
+def entries(df: DataFrame, text: str, name: str, piece: int = PIECE, sliding: bool = False) -> DataFrame:
+    """df with the fingerprint of the column `text` as `name` array<long>, of tokens() of that form.
 
     Each step is a column of its own, so that no step's lambda holds another step's array and works
     it out again for every element.
     """
     token, gram, pair = f"_{name}_tokens", f"_{name}_grams", f"_{name}_pairs"
     get = lambda a, i: F.get(F.col(a), i)
-    df = df.withColumn(token, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0)))
+    df = df.withColumn(token, tokens(F.col(text), piece, sliding))
     pack = lambda h, i: F.pmod(h, F.lit(_HASHES)) * F.lit(_PLACES) + (F.lit(_PLACES - 1) - i)
     n = F.greatest(F.size(token) - (K - 1), F.least(F.size(token), F.lit(1)))
     df = df.withColumn(gram, F.transform(F.slice(F.col(token), F.lit(1), n), lambda x, i: pack(F.xxhash64(x, get(token, i + 1), get(token, i + 2), get(token, i + 3)), i)))
@@ -96,10 +114,10 @@ def edited(docs: DataFrame, id_col: str = "doc_id", bytes_each: int = 16 << 20,
     own, along = F.struct(F.lit(False).alias("guest"), F.col("_bucket").alias("bucket")), F.struct(F.lit(True).alias("guest"), F.col("_to").alias("bucket"))
     dealt = dealt.select(id_col, "text", "_k", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, along))).alias("_at"))
     dealt = dealt.select(id_col, F.col("text").alias("_text"), "_k", F.col("_at.guest").alias("_guest"), F.col("_at.bucket").alias("_bucket")).repartition("_bucket")
-    fp = entries(dealt, "_text", "_fp").withColumn("_hashes", hashes("_fp"))
+    fp = entries(dealt, "_text", "_fp", sliding=True).withColumn("_hashes", hashes("_fp"))
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_k"), F.xxhash64("_text"))
     fp = fp.withColumns({"_next": F.lead("_hashes").over(order), "_next_text": F.lead("_text").over(order)}).where(~F.col("_guest"))
     n = F.char_length("_text")
     fp = fp.withColumn("_chars", n.cast("long")).withColumn("_cut", F.floor(F.col("_chars") / 3).cast("int"))
     fp = fp.withColumn("_edited", F.concat(F.substr("_text", F.lit(1), F.col("_chars").cast("int") - F.col("_cut")), F.substr("_next_text", F.lit(1), F.col("_cut"))))
-    return entries(fp, "_edited", "_edited_fp")
+    return entries(fp, "_edited", "_edited_fp", sliding=True)
