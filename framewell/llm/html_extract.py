@@ -34,6 +34,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset("head noscript template button select option optgroup datalist object svg math canvas audio video label".split())
+#: Elements of other languages, in which a start tag that ends in a slash is a whole element, and those in them that hold HTML again.
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_ENDS = frozenset("foreignobject desc mi mo mn ms mtext".split())
 #: What a start tag closes, up to the nearest element that bounds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 CLOSES |= {x: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}) for x in ("thead", "tbody", "tfoot")}
@@ -44,6 +47,8 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
+#: Attributes that end in an unquoted value, which the slash belongs to.
+_BARE = re.compile(r"""=\s*[^\s"']*/$""")
 
 TAGS = "article main section div p h li ul table quote pre nav header footer aside form figure body other".split()
 _KIND = {x: x for x in TAGS} | dict.fromkeys("h1 h2 h3 h4 h5 h6 hgroup".split(), "h") | dict.fromkeys("li dt dd".split(), "li") | dict.fromkeys("ul ol dl".split(), "ul") | dict.fromkeys("table tbody thead tfoot tr td th caption".split(), "table") | {"blockquote": "quote", "fieldset": "form", "legend": "form", "search": "form", "menu": "nav", "dir": "nav", "dialog": "aside", "figcaption": "figure", "html": "body"}
@@ -112,6 +117,12 @@ def parse(source: str | None) -> Page:
             if stack[i][0] in bounds:
                 return
 
+    def foreign() -> bool:
+        for tag, _ in reversed(stack):
+            if tag in FOREIGN or tag in FOREIGN_ENDS:
+                return tag in FOREIGN
+        return False
+
     def say(text: str) -> None:
         if quiet or not text:
             return
@@ -166,8 +177,11 @@ def parse(source: str | None) -> Page:
                             pop()
                         break
             continue
+        # An svg or math that ends in a slash after an unquoted value is taken for a whole element too.
+        if m[3].endswith("/") and (tag in FOREIGN or quiet and foreign() and not _BARE.search(m[3])):
+            continue
         if tag in RAW:
-            stop = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])").search(source, at) if not m[3].endswith("/") or tag != "svg" else None
+            stop = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])").search(source, at)
             if stop is None:
                 break
             stop = source.find(">", stop.end())

@@ -206,6 +206,15 @@ def test_extraction(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+def test_self_closed_foreign_elements():
+    said = lambda page: " ".join(" ".join("".join(run).split()) for _, run in html_extract.parse(page).runs).strip()
+    for icon in ("<svg/>", "<svg class=i/>", '<SVG class="i" />', "<math/>", '<svg viewBox="0 0 1 1"><title/><style/><g><path d="M0 0"/><a/></g>no</svg>', "<svg><foreignObject><svg/>no</foreignObject>no</svg>", "<svg>no<a href=http://x/>no</a>no</svg>"):
+        assert said(f"<p>{icon} text</p>") == "text", icon
+        assert said(f"<body>{icon}<article><h1>Head</h1><p>One {icon}two.</p><p>Three</p></article><p>End</p>") == "Head One two. Three End", icon
+    # In HTML itself the slash says nothing.
+    assert said("<body><select/>no</select><p/>yes") == "yes"
+
+
 def test_judgement_is_its_sql(spark):
     import duckdb
     import pandas as pd
