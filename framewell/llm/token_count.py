@@ -1,15 +1,16 @@
 """Token counts with overlap resynchronisation.
 
-A text of up to `chunk` characters is counted whole, by bpe.py, whose memory of words makes it several
-times as fast as the library.  A longer one is encoded by the library in chunks that overlap
-by `overlap` characters, with offsets.  Two neighbouring encodings are spliced where both are proven
-right: at white space in the overlap, since no token, special string or composed character spans
-white space, and only if from there to the next white space both give the same tokens at the same
-places.  Where an overlap has no such place it is widened, doubling, to the text's end if need be; a
-text without white space is so encoded as one.  The counts are those of the library on whole texts,
-and memory is that of one chunk, or of the longest stretch without white space.
-
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each.
+A text is encoded by the library in chunks of `chunk` characters that overlap by `overlap`, with
+offsets; a text that fits into one chunk is one chunk.  Two neighbouring encodings are spliced where
+both are proven right: at white space in the overlap, since no token, special string or composed
+character spans white space, and only if from there to the next white space both give the same tokens
+at the same places.  Where an overlap has no such place it is widened, doubling, to the text's end if
+need be; a text without white space is so encoded as one.  The counts are those of the library on
+whole texts, and memory is that of one chunk, or of the longest stretch without white space.
+
+Defined results: null and empty texts have 0 bytes and 0 tokens; very long texts are counted whole;
+repeated rows and repeated ids are counted each, a null id as any other; an empty table gives an empty
+result; only the id and the text are read, so further columns may have any name.
 """
 
 import functools
@@ -20,10 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from framewell.llm.bpe import default_path
-from framewell.llm.bpe import load as load_bpe
 from framewell.llm.common import as_text
 
-CHUNK, OVERLAP = 1 << 16, 1 << 9
+CHUNK, OVERLAP = 1 << 14, 1 << 8
 #: Only characters that every Unicode version counts as white space.
 _SPACE = re.compile(r"[ \t-\r]+")
 
@@ -42,23 +42,33 @@ def load(path: str):
 
 
 class _Part:
-    """The encoding of text[start:end]: where its tokens start and end, in the whole text."""
+    """The encoding of text[start:end]; tokens' places are asked of the library one by one, as few are needed."""
 
     def __init__(self, t, text: str, start: int, end: int):
         self.start, self.end = start, end
-        e = t.encode(text[start:end], add_special_tokens=False)
-        self.ids, self.spans = e.ids, [(a + start, b + start) for a, b in e.offsets]
+        self.encoding = t.encode(text[start:end], add_special_tokens=False)
+        self.n = len(self.encoding)
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where token i starts and ends, in the whole text."""
+        a, b = self.encoding.token_to_chars(i)
+        return a + self.start, b + self.start
 
     def index(self, at: int) -> int | None:
         """Number of tokens before `at`, or None if one spans it."""
-        lo, hi = 0, len(self.spans)
+        lo, hi = 0, self.n
         while lo < hi:
             mid = (lo + hi) // 2
-            if self.spans[mid][0] < at:
+            if self.span(mid)[0] < at:
                 lo = mid + 1
             else:
                 hi = mid
-        return lo if lo == 0 or self.spans[lo - 1][1] <= at else None
+        return lo if lo == 0 or self.span(lo - 1)[1] <= at else None
+
+    def stretch(self, i: int, j: int) -> list[tuple[int, int, int]]:
+        """Tokens i to j - 1 and their places."""
+        ids = self.encoding.ids[i:j]
+        return [(x, *self.span(i + k)) for k, x in enumerate(ids)]
 
 
 def _splice(text: str, a: _Part, b: _Part) -> tuple[int, int, int] | None:
@@ -67,16 +77,14 @@ def _splice(text: str, a: _Part, b: _Part) -> tuple[int, int, int] | None:
     # b may have begun, and a may have ended, in the middle of a token: only whole stretches between two gaps prove.
     for x, y in zip(gaps, gaps[1:]):
         ia, ib, ja, jb = a.index(x.start()), b.index(x.start()), a.index(y.start()), b.index(y.start())
-        if x.start() > b.start and None not in (ia, ib, ja, jb) and ja > ia and a.ids[ia:ja] == b.ids[ib:jb] and a.spans[ia:ja] == b.spans[ib:jb]:
+        if x.start() > b.start and None not in (ia, ib, ja, jb) and ja > ia and a.stretch(ia, ja) == b.stretch(ib, jb):
             return x.start(), ia, ib
     return None
 
 
 def count(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Number of tokens of one text of any length."""
-    if len(text) <= chunk:
-        return len(t.encode(text, add_special_tokens=False))
-    total, a, skip = 0, _Part(t, text, 0, chunk), 0
+    total, a, skip = 0, _Part(t, text, 0, min(chunk, len(text))), 0
     while a.end < len(text):
         wide = min(overlap, chunk // 2)
         while True:
@@ -91,7 +99,7 @@ def count(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
                 # No place back there: go on from the same start, with twice the stretch.
                 a = _Part(t, text, a.start, min(len(text), a.start + 2 * (a.end - a.start)))
                 break
-    return total + len(a.ids) - skip
+    return total + a.n - skip
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = 2048) -> DataFrame:
@@ -99,12 +107,10 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent, back = as_text(df.select(id_col, text_col), id_col)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, bpe = load(path or default_path()), load_bpe(path or default_path())
+        t = load(path or default_path())
         for b in batches:
             texts = [x if isinstance(x, str) else "" for x in b[text_col]]
-            n = [0] * len(texts)
-            for i, x in enumerate(texts):
-                n[i] = count(t, x, chunk, overlap) if len(x) > chunk else bpe.count(x)
+            n = [count(t, x, chunk, overlap) for x in texts]
             yield pd.DataFrame({id_col: b[id_col].array, "n_bytes": [len(x.encode("utf-8", "surrogatepass")) for x in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
 
     return back(sent.mapInPandas(work, f"`{id_col}` string, n_bytes bigint, n_tokens bigint, over_limit boolean"))
