@@ -1,24 +1,28 @@
-"""Exact top-k search by inner product: sorted lists, read in order only, with score bounds.
+"""Exact top-k search by inner product: no-random-access aggregation over sorted lists.
 
-Candidates and queries are dealt into blocks by a hash of their ids, and each pair of blocks is one
-group.  In a group every dimension of the candidates is a sorted list.  A query reads the lists from
-the end that gives it the most; after each round (a read depth) a candidate has a lower bound, its
-seen products plus the least that unseen lists can give, and an upper bound, its seen products plus
-what each list gives at its read depth.  A query stops once no candidate outside its k best lower
-bounds, seen or not, has an upper bound that reaches the k-th lower bound; the k best are then
-resolved to their scores.  The k best of all blocks are merged by rank, limited before the shuffle.
+Candidates and queries are dealt into blocks, and each pair of blocks is one group.  In a group every
+dimension of the candidates is a list sorted by value, which a query reads from the end that gives it
+the most, in order only and in growing steps.  What it has read gives each candidate a lower bound
+(the products seen, and the least that the lists not yet seen at can give) and an upper bound (the
+products seen, and what each such list gives next).  The lists whose next and last entries differ most
+are read on first, since they hold most of what is uncertain.  A query stops once no more than a few
+candidates have an upper bound that reaches the k-th lower bound; the lists are then read on for those
+few only, until their scores are known.  The k best of all blocks are merged by rank, limited before
+the shuffle.
 
-The rounds are matrix products: seen components of all candidates times those of all queries.  They
-are exact in float64 below 2^53; where larger values occur, int64 products take their place (scores
-must fit a long; beyond it they wrap).
+Sums are exact in float64 below 2^53.  Where larger values occur, the bounds are widened by more than
+what rounding can do, and the scores of what is left are int64 products (scores must fit a long;
+beyond it they wrap).
 
-Every query meets every candidate block, which is the task; a block pair's memory is set by
-BLOCK, and no block grows with the data.
+Every query meets every candidate block, which is the task; a block pair's memory is set by BLOCK and
+QUERY_BLOCK.  Rows are dealt by a hash of id and place in the table, so no block grows with the data
+even if one id or one vector holds a third of all rows.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
-vectors of different lengths don't meet; rows that repeat a vec_id are candidates each, but as a
-query such an id counts once, and never meets rows of its own id; a query without candidates has no
-rows; an empty table gives an empty result.
+vectors of different lengths don't meet, and of any length are compared whole; rows that repeat a
+vec_id are candidates each, never meet rows of their own id, and as queries share their id's k best;
+ties go to the smaller vec_id; a query without candidates has no rows; an empty table gives an empty
+result; columns other than vec_id and v are not read, whatever their names.
 """
 
 import numpy as np
@@ -26,10 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-QUERY_BLOCK = 4096
-#: Read depths after which bounds are taken, as parts of a list.
-DEPTHS = (0.125, 0.5)
+BLOCK = 1 << 14
+QUERY_BLOCK = 256
+#: Steps of a list, as shares of it.
+STEPS = (1 / 256, 1 / 64, 1 / 16, 1.0)
 
 
 def quantize(embedding: str | Column, scale: int = 256) -> Column:
@@ -40,82 +44,99 @@ def quantize(embedding: str | Column, scale: int = 256) -> Column:
     return F.when((F.size(e) > 0) & ~bad, F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))))
 
 
-def _top(cand: np.ndarray, ids: np.ndarray, query: np.ndarray, qids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, candidate place, score) of each query's k best; cand is one block."""
-    n, dims = cand.shape
-    q_at, c_at, scores = [], [], []
-    exact = float(np.abs(cand).max(initial=0)) * float(np.abs(query).max(initial=0)) * dims < 2**53
-    kind = np.float64 if exact else np.int64
-    v = cand.astype(kind)
-    order = np.sort(v, axis=0)
-    own = ids[:, None] == qids[None, :]
-    open_ = np.arange(len(query))
-    lowest, highest = order[0], order[-1]
-    for part in DEPTHS if exact else ():
-        depth = max(1, int(n * part))
-        if depth >= n or not len(open_):
-            break
-        up, down = order[n - depth], order[depth - 1]  # what each list gives next, from the top and from the bottom
-        q = query[open_].astype(kind)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        from_top, from_bottom = v >= up, v <= down
-        seen = (v * from_top) @ plus.T + (v * from_bottom) @ minus.T
-        # Unseen lists: at most what they give next, at least what they end with.
-        upper = seen + (~from_top).astype(kind) @ (plus * up).T + (~from_bottom).astype(kind) @ (minus * down).T
-        lower = seen + (~from_top).astype(kind) @ (plus * lowest).T + (~from_bottom).astype(kind) @ (minus * highest).T
-        lower[own[:, open_]] = -np.inf
-        upper[own[:, open_]] = -np.inf
-        if n > k:
-            kth = np.partition(lower, n - k, axis=0)[n - k]
-            may = upper >= kth
-            unseen = (plus * up + minus * down).sum(axis=1)  # of a candidate that no list has shown yet
-            done = (may.sum(axis=0) <= 4 * k) & (unseen < kth)
-            for i in np.flatnonzero(done):
-                at = np.flatnonzero(may[:, i])
-                q_at.append(np.full(len(at), open_[i])); c_at.append(at); scores.append(v[at] @ q[i])
-            open_ = open_[~done]
-    if len(open_):  # read to the end: both bounds are the score
-        score = v @ query[open_].astype(kind).T
-        if exact:
-            score[own[:, open_]] = -np.inf
-        for i in range(len(open_)):
-            s = score[:, i]
-            at = np.flatnonzero(~own[:, open_[i]])
-            if len(at) > k:
-                at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-            q_at.append(np.full(len(at), open_[i])); c_at.append(at); scores.append(s[at])
-    if not q_at:
-        return (np.empty(0, int),) * 3
-    a, b, s = np.concatenate(q_at), np.concatenate(c_at), np.concatenate(scores)
-    keep = ~own[b, a]
-    a, b, s = a[keep], b[keep], s[keep].astype(np.int64)
-    by = np.lexsort((ids[b], -s, a))
-    a, b, s = a[by], b[by], s[by]
-    rank = np.arange(len(a)) - np.searchsorted(a, a, side="left")
-    return a[rank < k], b[rank < k], s[rank < k]
+class Lists:
+    """A block's candidates as sorted lists, one for each dimension, in both directions."""
+
+    def __init__(self, cand: np.ndarray, ids: np.ndarray):
+        self.cand, self.ids = cand, ids
+        n = len(cand)
+        up = np.argsort(cand, axis=0, kind="stable").T.astype(np.int32)
+        value = np.take_along_axis(cand.T, up, axis=1).astype(np.float64)
+        self.place = np.stack([up, up[:, ::-1]])  # [direction, dimension, rank]
+        self.value = np.stack([value, value[:, ::-1]])
+        self.whole = np.ascontiguousarray(cand.T, dtype=np.float64)
+        self.steps = np.unique([0, *(max(1, int(n * s)) for s in STEPS)])
+        self.largest = float(np.abs(cand).max(initial=0))
+
+    def search(self, query: np.ndarray, own_id: int, k: int, few: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """(places, scores) of one query's k best, and the share of all entries read until it stopped."""
+        n, dims = self.cand.shape
+        few = max(4 * k, n // 256) if few is None else few
+        most = 2.0 * dims * self.largest * float(np.abs(query).max(initial=0))
+        # What rounding can make of any of the sums; nothing where all integers are exact.
+        margin = 0.0 if most < 2**53 else 8 * dims * most * 2.0**-52
+        q, d = query.astype(np.float64), np.arange(dims)
+        way = (q > 0).astype(int)
+        worst = q * self.value[way, d, -1]
+        gap = q * self.value[way, d, 0] - worst  # between what a list gives next and what it ends with
+        at = np.zeros(dims, int)
+        low, slack = np.full(n, worst.sum()), np.full(n, gap.sum())
+        own = self.ids == own_id
+        low[own] = -np.inf
+        others = n - int(own.sum())
+        left = ~own
+        read = 0
+        while others > few and (top := gap.max()) > 0:
+            for step in np.unique(at[gap >= top / 2]):
+                of = np.flatnonzero((gap >= top / 2) & (at == step))
+                a, b = self.steps[step], self.steps[step + 1]
+                place = self.place[way[of], of, : b if b < n else a]
+                new = place[:, a:].ravel()
+                if b < n:
+                    gives = self.value[way[of], of, a:b] * q[of, None] - worst[of, None]
+                    low += np.bincount(new, weights=gives.ravel(), minlength=n)
+                else:  # the rest of a list is all candidates but those seen, which is summed faster in their own order
+                    low += q[of] @ self.whole[of] - worst[of].sum()
+                    if a:
+                        low -= np.bincount(place[:, :a].ravel(), weights=(self.value[way[of], of, :a] * q[of, None] - worst[of, None]).ravel(), minlength=n)
+                before = gap[of].copy()
+                after = q[of] * self.value[way[of], of, b] - worst[of] if b < n else np.zeros(len(of))
+                slack += (after - before).sum()
+                # Candidates seen earlier in these lists don't change; those seen now have nothing open there.
+                if a:
+                    slack += np.bincount(place[:, :a].ravel(), weights=np.repeat(before - after, a), minlength=n)
+                if b < n:
+                    slack -= np.bincount(new, weights=np.repeat(after, b - a), minlength=n)
+                gap[of], at[of] = after, step + 1
+                read += len(of) * (b - a)
+            kth = np.partition(low, n - k)[n - k]
+            left &= low + slack + margin >= kth - margin
+            if np.count_nonzero(left) <= few:
+                break
+        found = np.flatnonzero(left)
+        if margin:
+            score = (self.cand[found] * query).sum(axis=1)
+        else:
+            for step in np.unique(at[gap > 0]):  # read on for what is left
+                of = np.flatnonzero((at == step) & (gap > 0))
+                a = self.steps[step]
+                place = self.place[way[of], of, a:]
+                row, col = np.nonzero(left[place])
+                low += np.bincount(place[row, col], weights=self.value[way[of[row]], of[row], a + col] * q[of[row]] - worst[of[row]], minlength=n)
+            score = low[found].astype(np.int64)
+        best = np.lexsort((self.ids[found], -score))[:k]
+        return found[best], score[best], read / max(n * dims, 1)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """vectors(vec_id, v array<long>), queries likewise -> query_id, rank, vec_id, score."""
-    vectors = vectors.where("vec_id is not null and v is not null")
-    queries = queries.where("vec_id is not null and v is not null").dropDuplicates(["vec_id"])
+    vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("dims"), F.monotonically_increasing_id().alias("nth"))
+    queries = queries.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("dims"), F.monotonically_increasing_id().alias("nth"))
     n, m = vectors.count(), queries.count()
     c_blocks, q_blocks = -(-n // block) or 1, -(-m // query_block) or 1
-    by_hash = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    size = F.size("v").alias("dims")
-    q = queries.select("vec_id", "v", size, by_hash(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    c = vectors.select("vec_id", "v", size, F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), by_hash(c_blocks).alias("cb"))
+    by_hash = lambda parts: F.pmod(F.xxhash64("vec_id", "nth"), F.lit(parts)).cast("int")
+    q = queries.select("vec_id", "v", "dims", by_hash(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
+    c = vectors.select("vec_id", "v", "dims", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), by_hash(c_blocks).alias("cb"))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({x: pd.Series(dtype="int64") for x in columns})
-        query, cand = np.stack(left["v"]), np.stack(right["v"])
-        qids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        lists = Lists(np.stack(right["v"]), right["vec_id"].to_numpy())
         found = []
-        for i in range(0, len(query), 512):
-            a, b, s = _top(cand, ids, query[i : i + 512], qids[i : i + 512], k)
-            found.append(pd.DataFrame({"query_id": qids[i : i + 512][a], "vec_id": ids[b], "score": s}))
+        for i, v in zip(left["vec_id"].to_numpy(), left["v"]):
+            at, score, _ = lists.search(np.asarray(v), i, k)
+            found.append(pd.DataFrame({"query_id": i, "vec_id": lists.ids[at], "score": score}))
         return pd.concat(found)
 
     keys = ("dims", "qb", "cb")
