@@ -15,7 +15,9 @@ Defined results: null and empty html, and pages in which nothing is content, giv
 scripts, styles, templates, form controls, comments and the head never give text; a `<` that begins
 no tag is text; unclosed and misnested tags are closed as browsers do for block elements; a line
 break is white space; character references are decoded as HTML5 has it; rows of any length are worked
-whole; repeated rows give a row each.
+whole, in time that grows with their length however they nest; repeated rows and ids give a row each,
+a null id or url as any other; an empty table gives an empty result; only id, url and html are read,
+so further columns may have any name.
 """
 
 import functools
@@ -43,7 +45,11 @@ CLOSES |= {x: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}) for x i
 P_ENDS = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"} | {"hr"}
 P_BOUNDS = frozenset("td th caption button object table html body".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: Tags that never close a quote may be looked for so often in a page, each time up to its end.
+_OPEN_QUOTES = 8
+#: Elements nested deeper hang on their ancestor at this depth, as browsers' parsers have it; their text counts as ever.
+DEEPEST = 512
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -90,6 +96,9 @@ def parse(source: str | None) -> Page:
     in_link = 0
     run: list[str] = []
     at, end = 0, len(source)
+    open_at: dict[str, list[int]] = {"html": [0]}  # where on the stack each tag is open
+    depth = [0]  # of each tree element
+    odd_quotes = 0
 
     def flush() -> None:
         nonlocal run
@@ -106,22 +115,39 @@ def parse(source: str | None) -> Page:
             quiet -= 1
         elif tag == "a":
             in_link -= 1
+        open_at[tag].pop()
         stack.pop()
 
+    def push(tag: str, element: int) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append((tag, element))
+
+    def last(tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none, as the root's."""
+        return max((at[-1] for x in tags if (at := open_at.get(x))), default=0)
+
     def close(tags, bounds) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in bounds:
-                return
+        to = last(tags)
+        if to and to >= last(bounds):
+            while len(stack) > to:
+                pop()
 
     def foreign() -> bool:
-        for tag, _ in reversed(stack):
-            if tag in FOREIGN or tag in FOREIGN_ENDS:
-                return tag in FOREIGN
-        return False
+        return last(FOREIGN) > last(FOREIGN_ENDS)
+
+    def element(tag: str, attrs: str) -> None:
+        flush()
+        above = stack[-1][1]
+        if depth[above] >= DEEPEST:
+            above = page.parent[above]
+        hints, hidden = _read(attrs)
+        page.parent.append(above)
+        page.tag.append(_KIND.get(tag, "other"))
+        page.hint.append(hints)
+        page.hidden.append(hidden)
+        page.links.append(0)
+        depth.append(depth[above] + 1)
+        push(tag, len(depth) - 1)
 
     def say(text: str) -> None:
         if quiet or not text:
@@ -140,7 +166,10 @@ def parse(source: str | None) -> Page:
         m = None
         nxt = source[lt + 1 : lt + 2]
         if nxt.isalpha() and nxt.isascii() or nxt == "/":
-            m = _TAG.match(source, lt) or _LOOSE.match(source, lt)
+            m = _TAG.match(source, lt) if odd_quotes < _OPEN_QUOTES else None
+            if m is None:
+                odd_quotes += 1
+                m = _LOOSE.match(source, lt)
             if m is None and nxt != "/" and source.find(">", lt) < 0:
                 say(source[at:lt])  # the page ends within a tag
                 break
@@ -171,11 +200,7 @@ def parse(source: str | None) -> Page:
                 if tag == "br" and not quiet:
                     run.append(" ")
             else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        while len(stack) > i:
-                            pop()
-                        break
+                close((tag,), ())
             continue
         # An svg or math that ends in a slash after an unquoted value is taken for a whole element too.
         if m[3].endswith("/") and (tag in FOREIGN or quiet and foreign() and not _BARE.search(m[3])):
@@ -189,12 +214,12 @@ def parse(source: str | None) -> Page:
             continue
         if tag in ("html", "body", "head"):
             if tag == "head":
-                stack.append(("head", 0))
+                push("head", 0)
                 quiet += 1
             else:
                 close({"head"}, ())
                 if tag == "body" and len(stack) == 1:
-                    _open(page, stack, flush, "body", m[3])
+                    element("body", m[3])
             continue
         if tag in VOID:
             if tag == "hr":
@@ -209,33 +234,26 @@ def parse(source: str | None) -> Page:
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in BLOCK:
-            _open(page, stack, flush, tag, m[3])
+            element(tag, m[3])
         else:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             quiet += tag in SILENT
             in_link += tag == "a"
     flush()
     return page
 
 
-def _open(page: Page, stack: list, flush, tag: str, attrs: str) -> None:
-    flush()
-    hints, hidden = (), False
+def _read(attrs: str) -> tuple[tuple, bool]:
+    """The hints of class, id and role, and whether the element is hidden."""
+    found, hidden = set(), False
     if attrs and len(attrs) > 3:
-        found = set()
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
                 found.update(_HINT[w] for w in _WORD.findall(value) if w in _HINT)
             else:
                 hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-        hints = tuple(found)
-    page.parent.append(stack[-1][1])
-    page.tag.append(_KIND.get(tag, "other"))
-    page.hint.append(hints)
-    page.hidden.append(hidden)
-    page.links.append(0)
-    stack.append((tag, len(page.parent) - 1))
+    return tuple(found), hidden
 
 
 class Forest:
