@@ -147,20 +147,55 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
-def test_top_k_stops_early():
-    """With a few outstanding vectors the lists aren't read to the end, and the result is the same."""
+def brute_top(cand, ids, query, own, k=5):
+    return sorted((-int(s), int(i)) for s, i in zip(cand @ query, ids) if i != own)[:k]
+
+
+def test_bounds_stop_searches_of_vectors_like_the_tables():
+    """Unit vectors in 64 dimensions: the bounds stop most queries, though late, and the result is brute force's."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(3000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
+    ids = rng.permutation(3000) * 7
+    lists, read = topk.Lists(v, ids), []
+    for i in range(60):
+        at, score, depth = lists.search(v[i], int(ids[i]), 5)
+        assert [(-s, j) for s, j in zip(score.tolist(), ids[at].tolist())] == brute_top(v, ids, v[i], ids[i])
+        read.append(depth)
+    assert np.mean(np.array(read) < 1) > 0.9 and np.mean(read) < 0.95
+
+
+def test_bounds_stop_early_where_few_stand_out():
     rng = np.random.default_rng(1)
     cand = rng.integers(-20, 20, (2000, 6))
     cand[:9] = rng.integers(200, 250, (9, 6))
-    query = rng.integers(1, 100, (50, 6))
-    ids, qids = np.arange(2000), np.arange(5000, 5050)
-    a, b, s = topk._top(cand, ids, query, qids, 5)
-    for i in range(50):
-        best = sorted(zip((-(cand @ query[i])).tolist(), ids.tolist()))[:5]
-        assert [(-x, y) for x, y in zip(s[a == i].tolist(), ids[b[a == i]].tolist())] == best
-    huge = cand.astype(np.int64) * 10**7  # beyond what float64 holds exactly
-    a, b, s = topk._top(huge, ids, query * 10**5, qids, 5)
-    assert s[a == 0].tolist() == sorted((huge @ (query[0] * 10**5)).tolist(), reverse=True)[:5]
+    ids, lists = np.arange(2000), topk.Lists(cand, np.arange(2000))
+    for _ in range(50):
+        query = rng.integers(1, 100, 6)
+        at, score, depth = lists.search(query, 5000, 5)
+        assert [(-s, j) for s, j in zip(score.tolist(), at.tolist())] == brute_top(cand, ids, query, 5000)
+        assert depth < 0.1
+
+
+def test_searches_of_odd_blocks():
+    rng = np.random.default_rng(2)
+    for n, dims in ((1, 3), (4, 1), (6, 2), (21, 5), (300, 3), (900, 8)):
+        cand = rng.integers(-3, 4, (n, dims))  # many ties
+        ids = rng.integers(0, max(n // 2, 1), n)  # and repeated ids
+        for scale in (1, 10**7, 10**8):  # beyond what float64 holds exactly
+            lists = topk.Lists(cand * scale, ids)
+            for query in (rng.integers(-3, 4, dims) * scale, np.zeros(dims, int), cand[0] * scale):
+                at, score, _ = lists.search(query, int(ids[0]), 5)
+                assert [(-s, j) for s, j in zip(score.tolist(), ids[at].tolist())] == brute_top(cand * scale, ids, query, ids[0])
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one query id share its k best; candidates of one id are candidates each."""
+    rows = [(50, [4, 0]), (50, [0, 4]), *[(1, [2, 1])] * 4, (2, [1, 3]), (3, [3, 0]), (50, [9, 9])]
+    v = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    found = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id = 50"), k=4, block=2).collect())
+    scores = sorted(((-int(np.dot(q, c)), i) for j, q in rows if j == 50 for i, c in rows if i != 50))[:4]
+    assert found == [(50, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
 
 
 def quality_corpus(n, seed=3):
