@@ -95,23 +95,80 @@ def brute_fingerprint(text, grams=None):
     return list(dict.fromkeys(chosen))
 
 
+def brute_hashes(tokens, token_hash):
+    """Rolling hashes: each from the one before, less the token that leaves and with the one that enters."""
+    t = [token_hash[x] for x in tokens]
+    t += [0] * (winnow.K - len(t)) if t else []
+    out, top = [], pow(winnow.BASE, winnow.K - 1, winnow.PRIME)
+    for i in range(len(t) - winnow.K + 1):
+        if i:
+            h = ((out[-1] - t[i - 1] * top) * winnow.BASE + t[i + winnow.K - 1]) % winnow.PRIME
+        else:
+            h = 0
+            for x in t[: winnow.K]:
+                h = (h * winnow.BASE + x) % winnow.PRIME
+        out.append(h)
+    return out
+
+
+def brute_entries(text, token_hash, tokens):
+    grams = brute_hashes(tokens, token_hash)
+    return [h * winnow._PLACES + winnow._PLACES - 1 - p for h, p in brute_fingerprint(text, grams)]
+
+
+def token_hashes(spark, tokens):
+    d = spark.createDataFrame([(x,) for x in sorted(set(tokens))], "t string")
+    return {r["t"]: r["h"] for r in d.select("t", F.pmod(F.xxhash64("t"), F.lit(winnow.PRIME)).alias("h")).collect()}
+
+
 def test_winnowing_is_brute_force(spark):
     texts = ["a b c d e f g h i j k l m n o p", "a a a a a a a a a a a a", "one two", "", None, "x" * 100, "la " * 50 + "end", "ä ö ü ß é"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0))
-    rows = winnow.entries(d, "text", "fp").withColumn("tokens", tokens).collect()
-    hashed = lambda gram: spark.createDataFrame([tuple(gram)], "a string, b string, c string, d string").select(F.pmod(F.xxhash64("a", "b", "c", "d"), F.lit(winnow._HASHES))).first()[0]
+    rows = winnow.entries(d, "text", "fp", sliding=True).collect()
+    known = token_hashes(spark, [x for t in texts for x in brute_tokens(t)])
     for r in rows:
-        t = r["tokens"]
-        n = max(len(t) - winnow.K + 1, min(len(t), 1))
-        known = {}
-        grams = []
-        for i in range(n):
-            g = tuple((t + [None] * winnow.K)[i : i + winnow.K])
-            known[g] = known[g] if g in known else hashed(g)
-            grams.append(known[g])
-        expected = [h * winnow._PLACES + winnow._PLACES - 1 - p for h, p in brute_fingerprint(r["text"], grams)]
-        assert r["fp"] == expected, r["text"]
+        assert r["fp"] == brute_entries(r["text"], known, brute_tokens(r["text"])), r["text"]
+
+
+def test_fingerprint_query_is_brute_force(spark, tmp_path):
+    """All columns of the query, over a table with odd rows; ids repeat, and a third of them are null."""
+    from framewell.llm import queries
+
+    rng = random.Random(4)
+    rows = [(i * 7 % 101, " ".join(rng.choices("abcdefg", k=rng.randint(0, 60))) + "x" * rng.choice([0, 0, 30]), "en", "s", 0) for i in range(101)]
+    rows += [(500, None, "en", "s", 0), (501, "", "en", "s", 0), (502, "é😀" * 400, "en", "s", 0), (2**62, "last", "en", "s", 0), (-5, "neg a b c d e", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op5_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(((i, t or "") for i, t, *_ in rows), reverse=True)
+    after = {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
+    text = dict(order)
+    cut = {i: text[i][: len(text[i]) - len(text[i]) // 3] + after[i][: len(text[i]) // 3] for i in text}
+    known = token_hashes(spark, [x for t in [*text.values(), *cut.values()] for x in brute_tokens(t)])
+    entries = lambda t: brute_entries(t, known, brute_tokens(t))
+    told = lambda t: hashlib.sha256(" ".join(f"{x:X}" for x in entries(t)).encode()).hexdigest()
+    of = lambda t: {x >> winnow.PLACE_BITS for x in entries(t)}
+    near = lambda a, b: len(of(a) & of(b)) / len(of(a) | of(b)) if of(a) | of(b) else 1.0
+    assert len(found) == len(rows)
+    for i, t in text.items():
+        r = found[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(cut[i].encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (told(t), told(cut[i]))
+        assert r["near_edited"] == pytest.approx(near(t, cut[i])) and r["near_next"] == pytest.approx(near(t, after[i]))
+
+
+def test_frequent_ids_are_split(spark):
+    """A third of all ids are null and another third equal: their rows are cut by hash, and none is lost."""
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i} of many words {i * i}", "en", "s", 0) for i in range(3000)]
+    d = docs(spark, rows).select("doc_id", F.col("text"))
+    placed, _ = winnow._buckets(d, "doc_id", 2000, 64)
+    most = placed.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert most < 300
+    ordered = [tuple(r) for r in placed.orderBy("_bucket", F.desc("_k"), "_h").select("_k", "_h").collect()]
+    assert ordered == sorted(ordered, key=lambda r: (-r[0], r[1]))
+    found = winnow.edited(docs(spark, rows), bytes_each=2000, quantiles=64).select("_text", "_edited").collect()
+    assert len(found) == 3000 and len({r["_text"] for r in found}) == 3000
+    follows = {r["_text"]: r["_edited"] for r in found}
+    assert all(v.startswith(k[: len(k) - len(k) // 3]) and len(v) == len(k) for k, v in follows.items())
 
 
 def brute_tokens(text, piece=winnow.PIECE):
