@@ -64,9 +64,14 @@ def draw(doc_id: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """docs -> row (a struct of its columns), size, source_size, target, copies (long): how often the mix has it."""
-    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, size: Column | None = None) -> DataFrame:
+    """docs -> row (a struct of its columns), size, source_size, target, copies (long): how often the mix has it.
+
+    `size` is a document's size where docs has it already, as words are counted once for the sums and,
+    if the result's size is used, once again.
+    """
+    size = word_count(text_col) if size is None else size
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
     targets = source_targets(sized.select("source", "size"), weights, share, most).select(F.col("source").alias("of"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")

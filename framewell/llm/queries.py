@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm import sql
-from framewell.llm.common import shared_dir, table
+from framewell.llm.common import keep, shared_dir, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from framewell.llm.mixing import copies
+    from framewell.llm.mixing import copies, word_count
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return copies(docs).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    # Ids, sources and sizes are written once, so that words are counted once.
+    docs = keep(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")))
+    return copies(docs, size=F.col("size")).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
