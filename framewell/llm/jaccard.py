@@ -3,10 +3,11 @@
 Two documents link when their sets of distinct word n-grams have a Jaccard similarity of at least
 `similarity`.  The result is each document's set size and the smallest id it reaches by links.
 
-1. Classes.  Documents with equal texts are one class, named by 60 bits of the text's md5, and only
-   one document of each class goes further.  A text that a third of all rows repeat is one row per
-   task after a local pass.
-2. Frequencies.  Each task packs its classes' n-grams into a binary row for each of `parts` ranges of
+1. Classes.  Documents with equal texts are one class, named by 60 bits of the text's md5; a name that
+   texts of different further bits share gets others until none is shared.  Only one document of each
+   class goes further.  A text that a third of all rows repeat is one row per task after a local pass.
+2. Frequencies.  A first pass finds the frequent n-grams, those in very many classes (of all, at most
+   2^16: see FREQUENT); they take no part in the counting, and count as rarer than none.  Each task packs its classes' n-grams into a binary row for each of `parts` ranges of
    hashes, as tokens of 32 bits within the range and 2 bytes for the owner.  A range's task counts in
    how many classes each token is and packs those of two classes or more for ranges of class names.
    Tokens only order and group n-grams: a collision adds candidates and loses none.
@@ -15,8 +16,9 @@ Two documents link when their sets of distinct word n-grams have a Jaccard simil
    first, and a class with enough of them has no partner; the others keep those of their prefix that
    occur elsewhere.
 4. Blocks.  Classes that share a prefix n-gram, directly or through others, are one block.  Every link
-   lies within a block.  A block of more than `chunk` classes is cut into chunks in order of set size,
-   and pairs of chunks are groups, but for those within its largest component: see _links().
+   lies within a block.  A block of more than `chunk` classes is cut into chunks in order of set size;
+   what the chunks' own joins leave outside the block's largest component meets, chunk by chunk, the
+   classes that share a prefix n-gram with it: see _links().
 5. Signature trees.  A group builds a tree for each chunk: a leaf entry has its set's token bitmap, a
    node the OR of its entries' bitmaps, and the range of their sizes.  The dual traversal starts at
    the roots and drops a node pair if its size ranges can't link, if the greatest overlap that the
@@ -25,23 +27,29 @@ Two documents link when their sets of distinct word n-grams have a Jaccard simil
    exactly.  A group returns each component's classes with its least one, never all pairs.
 6. Components over the groups' forests.
 
-Defined results: null texts and texts without words have an empty set and link with nothing, not
-even each other; fewer words than n are one gram; rows that repeat an id have a row each; equal texts
-link whatever their size; an empty table gives an empty result.
+Defined results: null texts and texts without words have an empty set and link with nothing, not even
+each other; fewer words than n are one gram; rows that repeat an id have a row each, each by its own
+text, and a null id is never a component's; equal texts link whatever their size; texts of any length
+are read whole; an empty table gives an empty result; only the id and the text are read, so further
+columns may have any name.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.llm.common import keep
 from framewell.llm.graph import connected_components
 
 N, SIMILARITY = 5, (75, 100)
-CHUNK = 1024
+CHUNK = 512
+#: An n-gram in more classes than one 2^17th of all characters, or than this, is frequent.
+FREQUENT = 4096
+#: So many classes of those that a task holds at a time make an n-gram a candidate for that.
+_OFTEN = 8
 #: Components of a chunk that stand for it among a large block's chunks; it changes the cost, not the result.
 HEADS = 16
 BITS = 2048
@@ -88,44 +96,30 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def class_key(text: Column) -> Column:
-    """60 bits of the text's md5, as long."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def _classes(rows: DataFrame, name_digits: int = 15, most: int = 10000) -> tuple[DataFrame, DataFrame]:
+    """rows(id, text, ...) with cls, and the classes (cls, first id, chars).
 
-
-def _pack(batches: Iterator[pd.DataFrame], n: int, parts: int, most: int) -> Iterator[pd.DataFrame]:
-    """(text, cls) -> for each range of hashes (part, data): classes, sizes, tokens, places of owners.
-
-    A class's size is told in the range of its least hash only, and is 0 in the others.
+    Names are 60 bits of the text's md5; 60 others tell whether texts that share a name differ, which
+    few of many billions do: their names are hashed anew from both.
     """
+    digest = F.md5("text")
+    part = lambda at, digits: F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+    keyed = rows.withColumns({"cls": part(1, name_digits), "check": part(18, 15)})
+    for again in range(8):
+        of = keep(keyed.groupBy("cls").agg(F.min("id").alias("first"), F.first(F.char_length("text")).alias("chars"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+        shared = [r[0] for r in of.where("lo <> hi").select("cls").limit(most + 1).collect()]
+        if not shared:
+            return keyed.drop("check"), of.drop("lo", "hi")
+        if len(shared) > most:
+            break
+        keyed = keyed.withColumn("cls", F.when(F.col("cls").isin(shared), F.xxhash64("cls", "check", F.lit(again))).otherwise(F.col("cls")))
+    raise RuntimeError("texts share names that no other name tells apart")
+
+
+def _distinct(batches: Iterator[pd.DataFrame], n: int, most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(text, cls) -> classes and their sets, of `most` n-grams or so at a time; a class once, as far as is remembered."""
     done: set[int] = set()
     cls, sets, held = [], [], 0
-    wide, shift = _width(parts), _shift(parts)
-
-    def flush() -> pd.DataFrame:
-        size = np.array([len(x) for x in sets])
-        h = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(cls), dtype=np.uint16), size)
-        part = h // wide
-        low = ((h - part * wide) >> shift).astype(np.uint32)
-        # Two n-grams of one class that share a token are neighbours, as hashes are sorted.
-        twice = np.r_[False, (owner[1:] == owner[:-1]) & (part[1:] == part[:-1]) & (low[1:] == low[:-1])]
-        first = np.r_[0, np.cumsum(size)[:-1]]
-        told = size.astype(np.uint64) | np.add.reduceat(twice, first).astype(np.uint64) << np.uint64(40)
-        told_in = part[first]
-        at = np.flatnonzero(~twice)
-        at = at[np.argsort(part[at], kind="stable")]
-        part, low, owner = part[at], low[at], owner[at]
-        cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        names = np.array(cls, np.int64)
-        rows = []
-        for p, (x, y) in enumerate(zip(cut, cut[1:])):
-            if y > x:
-                o, place = np.unique(owner[x:y], return_inverse=True)  # only the owners that occur here go along
-                s = np.where(told_in[o] == p, told[o], np.uint64(0))
-                rows.append((p, names[o].tobytes() + s.tobytes() + low[x:y].tobytes() + place.astype(np.uint16).tobytes(), len(o), int(y - x)))
-        return pd.DataFrame(rows, columns=["part", "data", "owners", "grams"])
-
     for b in batches:
         for text, c in zip(b["text"], b["cls"]):
             if c in done:
@@ -138,13 +132,89 @@ def _pack(batches: Iterator[pd.DataFrame], n: int, parts: int, most: int) -> Ite
                 sets.append(s)
                 held += len(s)
                 if held >= most or len(cls) == 65535:
-                    yield flush()
+                    yield cls, sets
                     cls, sets, held = [], [], 0
     if cls:
-        yield flush()
+        yield cls, sets
     _words.clear()  # workers are used again by other stages
 
 
+def _often(batches: Iterator[pd.DataFrame], n: int, most: int) -> Iterator[pd.DataFrame]:
+    """(text, cls) -> n-grams that several classes have, and how many."""
+    for _, sets in _distinct(batches, n, most):
+        grams, count = np.unique(np.concatenate(sets), return_counts=True)
+        some = count >= _OFTEN
+        yield pd.DataFrame({"gram": grams[some].astype(np.int64), "count": count[some]})
+
+
+def _pack(batches: Iterator[pd.DataFrame], n: int, parts: int, most: int, frequent: np.ndarray, similarity: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """(text, cls) -> for each range of hashes (part, data): classes, sizes, tokens, places of owners.
+
+    A class's size is told in the range of its least hash only, and is 0 in the others.  Frequent n-grams
+    (a sorted array) aren't told; rows of part -1 - p have for the p-th range of class names how many of
+    them each class has, and those of its prefix, which begins with all others.
+    """
+    wide, shift = _width(parts), _shift(parts)
+
+    def split(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The other n-grams, and the places of the frequent ones."""
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        has = frequent[at] == s
+        return s[~has], at[has]
+
+    def few(cls: list[int], sets: list[np.ndarray]) -> tuple[list[tuple], list[int], list[np.ndarray]]:
+        names, counts, owner, gram = [], [], [], []
+        left_cls, left = [], []
+        for c, s in zip(cls, sets):
+            light, heavy = split(s)
+            if len(heavy):
+                take = max(len(s) - int(_need(len(s), similarity)) + 1 - len(light), 0)
+                owner += [len(names)] * len(heavy[:take])
+                gram += heavy[:take].tolist()
+                names.append(c)
+                counts.append(len(heavy))
+            if len(light):
+                left_cls.append(c)
+                left.append(light)
+        names, counts, owner, gram = (np.array(x, np.int64) for x in (names, counts, owner, gram))
+        to = names % parts
+        rows = []
+        for p in np.unique(to):
+            mine = np.flatnonzero(to == p)
+            place = np.full(len(names), -1)
+            place[mine] = np.arange(len(mine))
+            of = place[owner] >= 0 if len(owner) else np.zeros(0, bool)
+            rows.append((int(-1 - p), names[mine].tobytes() + counts[mine].tobytes() + place[owner[of]].astype(np.int64).tobytes() + gram[of].tobytes(), len(mine), int(of.sum())))
+        return rows, left_cls, left
+
+    for cls, sets in _distinct(batches, n, most):
+        rows: list[tuple] = []
+        if len(frequent):
+            rows, cls, sets = few(cls, sets)
+        if cls:
+            size = np.array([len(x) for x in sets])
+            h = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(cls), dtype=np.uint16), size)
+            part = h // wide
+            low = ((h - part * wide) >> shift).astype(np.uint32)
+            # Two n-grams of one class that share a token are neighbours, as hashes are sorted.
+            twice = np.r_[False, (owner[1:] == owner[:-1]) & (part[1:] == part[:-1]) & (low[1:] == low[:-1])]
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            told = size.astype(np.uint64) | np.add.reduceat(twice, first).astype(np.uint64) << np.uint64(40)
+            told_in = part[first]
+            at = np.flatnonzero(~twice)
+            at = at[np.argsort(part[at], kind="stable")]
+            part, low, owner = part[at], low[at], owner[at]
+            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            names = np.array(cls, np.int64)
+            for p, (x, y) in enumerate(zip(cut, cut[1:])):
+                if y > x:
+                    o, place = np.unique(owner[x:y], return_inverse=True)  # only the owners that occur here go along
+                    s = np.where(told_in[o] == p, told[o], np.uint64(0))
+                    rows.append((p, names[o].tobytes() + s.tobytes() + low[x:y].tobytes() + place.astype(np.uint16).tobytes(), len(o), int(y - x)))
+        yield pd.DataFrame(rows, columns=["part", "data", "owners", "grams"])
+
+
 def _width(parts: int) -> np.uint64:
     return np.uint64(-(-(1 << 64) // parts) if parts > 1 else (1 << 64) - 1)
 
@@ -162,6 +232,8 @@ def _unpack(data: bytes, owners: int, grams: int) -> tuple[np.ndarray, ...]:
 def _count(b: pd.DataFrame, parts: int) -> pd.DataFrame:
     """One range of hashes -> for ranges of class names: sizes told here, shared tokens and their counts."""
     part = int(b["part"].iloc[0])
+    if part < 0:  # frequent n-grams' rows go on to their range of names as they are
+        return b.assign(to=-1 - part, part=-1)[["to", "part", "data", "owners", "grams"]]
     found = [_unpack(*x) for x in zip(b["data"], b["owners"], b["grams"])]
     start = np.cumsum([0, *(len(x[0]) for x in found)])[:-1]
     names, same = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
@@ -199,25 +271,41 @@ def _need(n: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
 def _prefix(b: pd.DataFrame, similarity: tuple[int, int]) -> pd.DataFrame:
     """One range of class names -> cls, n, and the tokens of the prefix that other classes have too."""
     names, sizes, cls, gram, count = [], [], [], [], []
+    many, many_count, heavy_cls, heavy = [], [], [], []
     for part, data, owners, grams in zip(b["part"], b["data"], b["owners"], b["grams"]):
-        a, z, k = 8 * owners, 16 * owners, 4 * grams
-        own = np.frombuffer(data[:a], np.int64)
+        own = np.frombuffer(data[: 8 * owners], np.int64)
         names.append(own)
+        if part < 0:
+            rest = np.frombuffer(data[8 * owners :], np.int64)
+            sizes.append(np.zeros(owners, np.uint64))
+            many.append(own)
+            many_count.append(rest[:owners])
+            heavy_cls.append(own[rest[owners : owners + grams]])
+            heavy.append(-1 - rest[owners + grams :])
+            continue
+        a, z, k = 8 * owners, 16 * owners, 4 * grams
         sizes.append(np.frombuffer(data[a:z], np.uint64))
         gram.append(np.frombuffer(data[z : z + k], np.uint32).astype(np.int64) + (np.int64(part) << 32))
         count.append(np.frombuffer(data[z + k : z + 2 * k], np.uint32))
         cls.append(own[np.frombuffer(data[z + 2 * k :], np.uint32).astype(np.int64)])
+    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
     names, same = np.unique(np.concatenate(names), return_inverse=True)
     told = np.zeros(len(names), np.uint64)
     np.maximum.at(told, same, np.concatenate(sizes))
     size, twice = (told & np.uint64((1 << 40) - 1)).astype(np.int64), (told >> np.uint64(40)).astype(np.int64)
-    cls, gram, count = np.concatenate(cls), np.concatenate(gram), np.concatenate(count)
+    frequent = np.zeros(len(names), np.int64)
+    frequent[np.searchsorted(names, join(many))] = join(many_count)
+    # Of all n-grams of a class the frequent ones come last; what is told of them is its prefix's.
+    last = np.unique(np.stack([join(heavy_cls), join(heavy)]), axis=1)
+    cls, gram, count = join(cls), join(gram), join(count)
     at = np.lexsort((gram, count, cls))
     cls, gram = cls[at], gram[at]
     x, y = np.searchsorted(cls, names), np.searchsorted(cls, names, side="right")
     alone = size - twice - (y - x)  # n-grams that share a token count once here, so the prefix is rather too long
+    size = size + frequent
     take = np.clip(size - _need(size, similarity) + 1 - alone, 0, y - x)
-    return pd.DataFrame({"cls": names, "n": size, "grams": [gram[i : i + k] for i, k in zip(x, take)]})
+    u, v = np.searchsorted(last[0], names), np.searchsorted(last[0], names, side="right")
+    return pd.DataFrame({"cls": names, "n": size, "grams": [np.r_[gram[i : i + k], last[1, j:m]] for i, k, j, m in zip(x, take, u, v)]})
 
 
 class Tree:
@@ -331,15 +419,25 @@ def _label(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame
     return pd.DataFrame({"cls": names, "label": _least(names, tree_join(Tree([s for _, s, _ in sets]), None, similarity))})
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, part_chars: int = 8 << 20) -> DataFrame:
-    """docs -> one row each: id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.withColumn("cls", class_key(F.col("text")))
-    of = keep(keyed.groupBy("cls").agg(F.min("id").alias("first"), F.first(F.char_length("text")).alias("chars")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(of.agg(F.sum("chars")).first()[0] or 0) // part_chars))
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, chunk: int = CHUNK, part_chars: int = 8 << 20, least_frequent: int = FREQUENT, carry: bool = False) -> DataFrame:
+    """docs -> one row each: id, n_shingles, component_id.
 
-    packed = keyed.select("text", "cls").mapInPandas(lambda it: _pack(it, n, parts, 1 << 20), "part int, data binary, owners int, grams int")
+    With `carry` there are also row (a struct of all columns of docs), cls (the same for equal texts) and
+    component (the same for all rows that reach each other, unlike component_id also where ids repeat).
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    keyed, of = _classes(rows)
+    chars = of.agg(F.sum("chars")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // part_chars))
+    texts = keyed.select("text", "cls")
+
+    often = texts.mapInPandas(lambda it: _often(it, n, 1 << 20), "gram bigint, count bigint")
+    # Their classes sum up to half of all characters at most, so there are 2^16 at most.
+    often = often.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") > max(least_frequent, chars >> 17)).select("gram").collect()
+    frequent = np.sort(np.array([r[0] for r in often], np.int64).astype(np.uint64))
+
+    packed = texts.mapInPandas(lambda it: _pack(it, n, parts, 1 << 20, frequent, similarity), "part int, data binary, owners int, grams int")
     counted = packed.groupBy("part").applyInPandas(lambda b: _count(b, parts), "to int, part int, data binary, owners int, grams int")
     known = keep(counted.groupBy("to").applyInPandas(lambda b: _prefix(b, similarity), "cls bigint, n bigint, grams array<bigint>"))
 
@@ -348,14 +446,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = grams.join(least, "gram").where("cls <> least").select(F.col("cls").alias("src"), F.col("least").alias("dst"))
     blocks = keep(connected_components(near).select(F.col("node").alias("cls"), F.col("component").alias("block")))
 
-    links = _links(keyed, of, known, blocks, n, similarity, chunk)
+    links = _links(keyed.select("id", "text", "cls"), of, known, blocks, n, similarity, chunk)
     joined = keep(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("group")))
-    firsts = joined.join(of, "cls").groupBy("group").agg(F.min("first").alias("component"))
-    named = joined.join(firsts, "group").select("cls", "component")
+    firsts = joined.join(of, "cls").groupBy("group").agg(F.min("first").alias("component_id"))
+    named = joined.join(firsts, "group").select("cls", "component_id", "group")
     told = known.select("cls", "n").join(named, "cls", "left").join(of.select("cls", "first"), "cls")
-    told = told.select("cls", "n", F.coalesce("component", "first").alias("component"))
-    out = keyed.select("id", "cls").join(told, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    told = told.select("cls", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("group", "cls").alias("component"))
+    out = keyed.drop("text").join(told, "cls", "left")
+    found = [F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    return out.select(*found, *(["row", "cls", F.coalesce("component", "cls").alias("component")] if carry else []))
 
 
 def _numbered(sized: DataFrame, by: list[str], chunk: int) -> DataFrame:
@@ -418,9 +517,15 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     there = chunks.where("rest = 1").select("block", F.struct("rest", "chunk").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("one_label").alias("l2"), F.col("last_label").alias("h2"))
     one_component = (F.col("l1") == F.col("h1")) & (F.col("l2") == F.col("h2")) & (F.col("l1") == F.col("l2"))
     pairs = here.join(there, "block").where((F.col("one") <= F.col("two")) & (b * F.col("hi") >= a * F.col("lo2")) & (b * F.col("hi2") >= a * F.col("lo")) & ~one_component)
-    side = lambda c, k: F.struct(F.col(c).alias("place"), F.lit(k).alias("side"))
-    sides = pairs.select("block", "one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(side("one", 0))).otherwise(F.array(side("one", 0), side("two", 1)))).alias("s"))
-    sides = sides.select("block", F.col("s.place.rest").alias("rest"), F.col("s.place.chunk").alias("chunk"), F.col("s.side").alias("side"), "one", "two")
-    dealt = again.join(sides, ["block", "rest", "chunk"]).select("cls", "first", "block", "side", F.col("label").alias("known"), "one", "two")
+    # A chunk of the rest meets only those classes of another that share a prefix n-gram with one of its own.
+    place = F.struct("rest", "chunk")
+    entries = known.select("cls", F.explode("grams").alias("gram")).join(again.select("cls", "block", place.alias("one")), "cls")
+    shared = entries.where("one.rest = 1").select("gram", "block", F.col("one").alias("two")).distinct()
+    meets = entries.join(shared, ["gram", "block"]).where("one <= two").select("cls", "block", "one", "two").distinct()
+    columns = ["cls", "first", "block", "side", F.col("label").alias("known"), "one", "two"]
+    held = again.select("cls", "first", "block", "label", place.alias("place"))
+    left = meets.join(pairs.select("block", "one", "two"), ["block", "one", "two"]).join(held.drop("block", "place"), "cls").withColumn("side", F.lit(0))
+    right = pairs.where("one <> two").select("block", "one", "two").join(held.withColumnRenamed("place", "two"), ["block", "two"]).withColumn("side", F.lit(1))
+    dealt = left.select(*columns).unionByName(right.select(*columns))
     rest = texts(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: _group(g, n, similarity, True), edges)
     return found.unionByName(rest)

@@ -66,7 +66,7 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(root) FROM re
 _REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
 _HOST = "translate(regexp_extract(" + _REST + ", '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(" + _REST + ", '(?s)^[^/?#]*([^?#]*)', 1)"
-_NODE = "CASE WHEN " + _HOST + " <> '' THEN " + _HOST + " || regexp_extract(regexp_replace(" + _REST + ", '(?s)#.*$', ''), '(?s)^[^/?]*(.*)$', 1) END"
+_NODE = "CASE WHEN " + _HOST + " <> '' THEN " + _HOST + " || regexp_replace(regexp_extract(regexp_replace(" + _REST + ", '(?s)#.*$', ''), '(?s)^[^/?]*(.*)$', 1), '^([^/]|$)', '/\\1') END"
 _RULES = "rules AS (SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) AS t(h, p, v))"
 _BEST = "(SELECT arg_max({{'rule': h || p, 'verdict': v}}, len(h || p)) FROM rules WHERE ({0} = h OR ends_with({0}, '.' || h)) AND starts_with({1}, p))"
 #: Attributes come in either order.
@@ -77,11 +77,13 @@ _LINKS = " || ".join(f"regexp_extract_all(html, '(?is)<{tag}\\b[^>]*{x}[^>]*{y}'
 URL_FILTERS = f"""
 WITH RECURSIVE {_RULES}, own AS (
   SELECT page_id, url, html, coalesce({_HOST.format('url')}, '') AS host, coalesce({_PATH.format('url')}, '') AS path, {_NODE.format('url')} AS node FROM pages
-), found AS (SELECT node, url, replace(unnest({_LINKS}), '&amp;', '&') AS href FROM own WHERE html IS NOT NULL AND url IS NOT NULL),
+), found AS (SELECT node, url, regexp_replace(unnest({_LINKS}), '(?i)&(amp|#0?38|#x26);', '&', 'g') AS href FROM own WHERE html IS NOT NULL AND url IS NOT NULL),
 absolute AS (
-  SELECT node, CASE WHEN contains(href, '://') THEN href
+  SELECT node, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
     WHEN starts_with(href, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || href
     WHEN starts_with(href, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || href
+    WHEN starts_with(href, '?') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || href
+    WHEN starts_with(href, '#') THEN url
     ELSE rtrim(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1), '/') || '/' || href END AS target FROM found
 ), edges AS (SELECT DISTINCT node AS x, {_NODE.format('target')} AS y FROM absolute),
 both_ways AS (SELECT x, y FROM edges WHERE x <> y UNION SELECT y, x FROM edges WHERE x <> y),

@@ -223,6 +223,24 @@ def test_rules_and_aliases(spark):
     assert url_filter.judge(spark, pages(spark, [(1, "http://new.io/", None)]), redirects=more).first()["verdict"] == "block"
 
 
+def test_targets_are_resolved(spark):
+    """Against the standard library's resolution."""
+    from urllib.parse import urljoin
+
+    bases = ["http://h.io/a/b/c?x=1#f", "http://h.io", "http://h.io/", "http://h.io/a/"]
+    links = ["d", "./d", "../d", "../../d", "../../../d", "?y", "/r/./s/../t", "//k.io/p", "https://z.io/q", "d/.", "d/..", "..", ".", "e?u=://v/../w", "g;x=1/../y", "a..b/c."]
+    rows = [(i, base, f"<link rel=canonical href='{to}'>") for i, (base, to) in enumerate((b, t) for b in bases for t in links)]
+    found = {tuple(r) for r in url_filter.page_links(pages(spark, rows)).collect()}
+    expected = {(base, urljoin(base, to)) for base in bases for to in links}
+    assert found == expected
+    far = url_filter.page_links(pages(spark, [(1, "http://h.io/a", "<link rel=canonical href='https://z.io/../b/./q'>")])).first()
+    assert far["to_url"] == "https://z.io/b/q"
+    same = spark.createDataFrame([("http://H.io#x",), ("http://h.io/",)], "u string").select(url_filter.node(F.col("u")).alias("n")).distinct().collect()
+    assert [r["n"] for r in same] == ["h.io/"]
+    more = url_filter.page_links(pages(spark, [(1, "http://h.io/", "<link rel=canonical href='/a?b&#38;c&amp;d&#x26;e'>")])).first()
+    assert more["to_url"] == "http://h.io/a?b&c&d&e"
+
+
 def test_messages_are_brute_force():
     rng = np.random.default_rng(4)
     tree = html_extract.parse("<div><p>a<p>b</div><ul><li>c<li>d</ul>")
