@@ -1,6 +1,12 @@
 """The corpus pipeline: classify, remove near duplicates, mix, encode.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs has the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs has the columns of documents, and
+further columns of any name are left out.
+
+Defined results: null and empty texts are scored by the classifier's biases, never duplicates of each
+other, of size 0 for the mix and without tokens; null metadata is a value of its own; rows that repeat
+an id are judged each by their own text, share the mix's draw, and are encoded each; equal texts are
+one group whatever their ids; an empty table gives an empty result; texts of any length are read whole.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id, once."""
+    """One row of each group of linked texts: that with the smallest id, null last.
+
+    Rows without words are kept as they are.  The decision is a row's own: of rows that share a group's
+    smallest id the least by text class and other columns stays, and rows of that id in other groups
+    have nothing to do with it.
+    """
     small_batches(spark)
-    docs = docs.select(*COLUMNS)
-    # A null id can't stand for a group; such rows and those without words are kept as they are.
-    found = jaccard.components(docs).where("n_shingles > 0 and doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays"))
-    per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(per, F.col("doc_id") == F.col("_id"), "left").where("stays is null or stays")
-    # Rows that repeat a kept id: one of them.
-    several = joined.where("stays").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = jaccard.components(docs.select(*COLUMNS), carry=True)
+    stays = found.where("n_shingles = 0 or doc_id <=> component_id").select("row", "n_shingles", "cls", "component")
+    several = stays.where("n_shingles > 0").groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     if several.isEmpty():
-        return joined.select(*COLUMNS)
-    return joined.where("stays").dropDuplicates(["doc_id"]).unionByName(joined.where("stays is null")).select(*COLUMNS)
+        return stays.select("row.*")
+    several = keep(several)
+    one = stays.where("n_shingles = 0").unionByName(stays.where("n_shingles > 0").join(several, "component", "left_anti")).select("row.*")
+    least = F.min(F.struct("cls", "row.lang", "row.source", "row.n_chars", "row"))
+    return one.unionByName(stays.where("n_shingles > 0").join(several, "component", "left_semi").groupBy("component").agg(least.alias("r")).select("r.row.*"))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +50,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document's every copy, and the digest of what they decode to."""
+    """Number of tokens of each document's every copy, and the digests of its ids and of what they decode to."""
     small_batches(spark)
     return bpe.digests(docs)
 
