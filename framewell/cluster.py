@@ -5,7 +5,7 @@ import os
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,13 +37,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: it is worked out once, and lost executors don't bring it back."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session has none, as in tests, a folder of the warehouse is set.
+    Where the session has none, as in tests, a folder of the warehouse is set; on a cluster that must not
+    be a local one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.warehouse.dir").startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/framewell-{uuid.uuid4().hex}"

@@ -126,9 +126,9 @@ def process(image: np.ndarray, p: Undistort, out_w: int, out_h: int) -> np.ndarr
     from framewell.operators.pixels import crop_box
 
     h, w = image.shape[:2]
-    fw, fh = int(w * p.xscale), int(h * p.yscale)
-    if p.rotation in (90, 270):
-        fw, fh = fh, (fw if p.corrected else fh)
+    if p.rotation in (90, 270):  # both sides are the original height, as found
+        w, h = h, (w if p.corrected else h)
+    fw, fh = int(np.float32(w) * np.float32(p.xscale)), int(np.float32(h) * np.float32(p.yscale))
     image = resize(rotate(image, p.rotation), fw, fh)
     image = undistort(image, p.alpha, p.gain, p.bias, p.gamma)
     x0, y0, cw, ch = crop_box(fw, fh, out_w, out_h)
@@ -156,8 +156,8 @@ def blend_images(p: pd.Series, s: pd.Series, alpha: pd.Series) -> pd.Series:
     """lerp() of the bytes of two images."""
 
     def one(a, b, t):
-        if a is None or b is None:
-            return a
+        if a is None or b is None:  # an end that can't be read: the other stands for both
+            return b if a is None else a
         x, y = np.frombuffer(a, np.uint8).astype(np.float32), np.frombuffer(b, np.uint8).astype(np.float32)
         return np.clip(x * np.float32(1 - t) + y * np.float32(t), 0, 255).astype(np.uint8).tobytes()
 

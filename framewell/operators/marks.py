@@ -1,5 +1,8 @@
 """Mark sets: joins with frames, toggling, and the marking session as a fold over keys."""
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +46,39 @@ def session(keys: DataFrame, n_frames: int, marks: DataFrame | None = None) -> D
     Space flips the mark under the cursor and advances; b and v go back one and five, not below 0; n
     and p jump to the next and previous mark, or stay; s goes to the start; q stops; any other key
     advances.  The session ends at the last frame.  A session is one person's key strokes for one
-    video, so it is folded whole.  The marks are part of the state, as n and p depend on them.
+    video, a sequence by nature, so it is folded whole; the marks are a sorted list that each key
+    searches by halves.
     """
-    start = marks.groupBy("video_id").agg(F.sort_array(F.collect_set("fn")).alias("start")) if marks is not None else None
-    per = keys.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "key"))), lambda x: x["key"]).alias("keys"))
-    empty = F.array().cast("array<bigint>")
-    per = per.join(start, "video_id", "full") if start is not None else per.withColumn("start", empty)
-    zero = F.struct(F.lit(0).cast("bigint").alias("fn"), F.coalesce("start", empty).alias("marks"), F.lit(False).alias("over"))
-
-    def step(s, key):
-        fn, has = s["fn"], s["marks"]
-        following = F.array_min(F.filter(has, lambda m: m > fn))
-        previous = F.array_max(F.filter(has, lambda m: m < fn))
-        flipped = F.when(F.array_contains(has, fn), F.array_remove(has, fn)).otherwise(F.array_append(has, fn))
-        to = F.when(key == "b", F.greatest(fn - 1, F.lit(0))).when(key == "v", F.greatest(fn - 5, F.lit(0))).when(key == "n", F.coalesce(following, fn)).when(key == "p", F.coalesce(previous, fn)).when(key == "s", F.lit(0)).when(key == "q", fn).otherwise(fn + 1)
-        over = s["over"] | (fn >= n_frames)
-        return F.struct(F.when(over, fn).otherwise(to).cast("bigint").alias("fn"), F.when(~over & (key == " "), flipped).otherwise(has).alias("marks"), (over | (key == "q")).alias("over"))
-
-    end = F.aggregate(F.coalesce("keys", F.array().cast("array<string>")), zero, step, lambda s: s["marks"])
-    return per.select("video_id", F.explode(F.array_sort(end)).alias("fn"))
+    sent = keys.select("video_id", "seq", F.col("key"), F.lit(None).cast("bigint").alias("fn"))
+    if marks is not None:
+        sent = sent.unionByName(marks.select("video_id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("key"), "fn"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        log = rows[rows["seq"].notna()].sort_values("seq")
+        has = sorted({int(x) for x in rows["fn"].dropna()})
+        fn = 0
+        for key in log["key"]:
+            if fn >= n_frames or key == "q":
+                break
+            at = bisect_left(has, fn)
+            on = at < len(has) and has[at] == fn
+            if key == "b":
+                fn = max(fn - 1, 0)
+            elif key == "v":
+                fn = max(fn - 5, 0)
+            elif key == "n":
+                fn = has[at + on] if at + on < len(has) else fn
+            elif key == "p":
+                fn = has[at - 1] if at else fn
+            elif key == "s":
+                fn = 0
+            else:
+                if key == " ":
+                    if on:
+                        del has[at]
+                    else:
+                        has.insert(at, fn)
+                fn += 1
+        return pd.DataFrame({"video_id": rows["video_id"].iloc[0], "fn": pd.Series(has, dtype="int64")})
+
+    return sent.groupBy("video_id").applyInPandas(fold, "video_id string, fn bigint")

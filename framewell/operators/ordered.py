@@ -29,17 +29,11 @@ def nearest(df: DataFrame, key: str, order: str, flag: Column, chunk: int = CHUN
     """df with previous_marked and next_marked: the nearest row before and after each for which flag holds."""
     df = chunked(df.withColumn("_at", F.when(flag, F.col(order))), order, chunk)
     ends = df.groupBy(key, "_chunk").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    w = Window.partitionBy(key).orderBy("_chunk")
-    ends = ends.select(
-        key,
-        "_chunk",
-        F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
-    w = Window.partitionBy(key, "_chunk").orderBy(order)
+    # Both look back, the second in descending order: a frame that grows row by row is never read again.
+    back = lambda c, keys, by: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(key, "_chunk", back("_hi", [key], "_chunk").alias("_before"), back("_lo", [key], F.desc("_chunk")).alias("_after"))
     df = df.join(ends, [key, "_chunk"])
-    previous = F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.first("_at", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    previous, following = back("_at", [key, "_chunk"], order), back("_at", [key, "_chunk"], F.desc(order))
     return df.withColumns({"previous_marked": F.coalesce(previous, "_before"), "next_marked": F.coalesce(following, "_after")}).drop("_at", "_before", "_after", "_chunk")
 
 

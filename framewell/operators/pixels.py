@@ -23,10 +23,14 @@ def rotate(pixels: DataFrame, angle: int, width: int, height: int) -> DataFrame:
 
 
 def working_size(cols: Column, rows: Column, xscale: Column, yscale: Column, rotation: Column, corrected: bool = False) -> tuple[Column, Column]:
-    """Truncated scaled size.  A quarter turn gives both sides the original height, as found; corrected=True swaps."""
-    fw, fh = (cols * xscale).cast("int"), (rows * yscale).cast("int")
+    """Scaled size, truncated, in single precision.
+
+    A quarter turn gives both sides the original height before they are scaled, as found; corrected=True swaps.
+    """
     turned = rotation.isin(90, 270)
-    return F.when(turned, fh).otherwise(fw), F.when(turned, fw if corrected else fh).otherwise(fh)
+    w, h = F.when(turned, rows).otherwise(cols), F.when(turned, cols if corrected else rows).otherwise(rows)
+    scaled = lambda n, s: (n.cast("float") * s.cast("float")).cast("int")
+    return scaled(w, xscale), scaled(h, yscale)
 
 
 def undistort_lut(spark: SparkSession, fw: int, fh: int, alpha: float = -1.0) -> DataFrame:

@@ -8,23 +8,27 @@ a run at frame 0 blends from frame b + 2 at both ends; a run whose frame b + 2 d
 the frame before it (or itself, at frame 0), and an unmarked b + 1 passes.
 """
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewell.cluster import written
 from framewell.functions.scalars import lerp
 from framewell.operators.marks import within
-from framewell.operators.ordered import CHUNK, chunked, running_count
+from framewell.operators.ordered import CHUNK, chunked, nearest, running_count
 
 
 def islands(marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """marks(video_id, fn) -> maximal runs (video_id, a, b), chunk by chunk, then joined at the cuts."""
     marks = chunked(marks.select("video_id", "fn").distinct(), "fn", chunk)
     w = Window.partitionBy("video_id", "_chunk").orderBy("fn")
-    parts = marks.withColumn("_run", F.col("fn") - F.row_number().over(w)).groupBy("video_id", "_chunk", "_run").agg(F.min("fn").alias("a"), F.max("fn").alias("b"))
+    parts = marks.withColumn("_run", F.col("fn") - F.row_number().over(w)).groupBy("video_id", "_chunk", "_run").agg(F.min("fn").alias("a"), F.max("fn").alias("b")).select("video_id", "a", "b")
+    cut = (F.col("a") % chunk == 0) | (F.col("b") % chunk == chunk - 1)
+    # Two runs of each chunk at most touch a cut; only those are joined, so a video is no window.
     w = Window.partitionBy("video_id").orderBy("a")
-    parts = parts.withColumn("_new", F.coalesce((F.col("a") != F.lag("b").over(w) + 1).cast("int"), F.lit(1)))
-    parts = parts.withColumn("_run", F.sum("_new").over(w))
-    return parts.groupBy("video_id", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("video_id", "a", "b")
+    ends = parts.where(cut).withColumn("_new", F.coalesce((F.col("a") != F.lag("b").over(w) + 1).cast("int"), F.lit(1)))
+    ends = ends.withColumn("_run", F.sum("_new").over(w)).groupBy("video_id", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return parts.where(~cut).unionByName(ends.select("video_id", "a", "b"))
 
 
 def segments(marks: DataFrame, videos: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -34,27 +38,38 @@ def segments(marks: DataFrame, videos: DataFrame, chunk: int = CHUNK) -> DataFra
     frame keeps its marks up to it.
 
     The cursor after a run is at b + 3 at most, so an island that begins beyond that doesn't depend on
-    those before it.  Islands are folded in chains that such gaps end, not video by video.
+    those before it.  Islands are folded in chains that such gaps end, not video by video; the chains
+    that begin in one chunk of frames are folded one after another in one task.
     """
-    w = Window.partitionBy("video_id").orderBy("a")
-    runs = islands(within(marks, videos), chunk).join(videos.select("video_id", "n_frames"), "video_id")
-    runs = runs.withColumn("_new", F.coalesce((F.col("a") > F.lag("b").over(w) + 3).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_chain", F.sum("_new").over(w))
-    chains = runs.groupBy("video_id", "n_frames", "_chain").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
-    n = F.col("n_frames")
-    kind = "struct<st:bigint,b:bigint,prev:bigint,src:bigint,n:bigint,div:bigint>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{kind}>").alias("done"))
-
-    def step(s, run):
-        b, st = run["b"], F.greatest(run["a"], s["c"])
-        src = F.when(b + 2 < n, b + 2)
-        before = F.when(s["last"].isNotNull() & (st == s["c"]), s["last"]).when(st > 0, st - 1)
-        one = F.struct(st.alias("st"), b.alias("b"), before.alias("prev"), src.alias("src"), F.when(src.isNotNull(), b - st + 2).otherwise(b - st + 1).alias("n"), F.when(src.isNotNull(), b - st + 3).alias("div"))
-        new = F.struct(F.when(src.isNotNull(), b + 3).otherwise(b + 1).alias("c"), st.alias("last"), F.concat(s["done"], F.array(one.cast(kind))).alias("done"))
-        return F.when(b < s["c"], s).otherwise(new)
-
-    done = F.aggregate("runs", zero, step, lambda s: s["done"])
-    return chains.select("video_id", F.explode(done).alias("s")).select("video_id", "s.*")
+    runs = chunked(islands(within(marks, videos), chunk), "a", chunk)
+    last = runs.groupBy("video_id", "_chunk").agg(F.max("b").alias("_last"))
+    last = last.select("video_id", "_chunk", F.lag("_last").over(Window.partitionBy("video_id").orderBy("_chunk")).alias("_last"))
+    before = F.coalesce(F.lag("b").over(Window.partitionBy("video_id", "_chunk").orderBy("a")), "_last")
+    runs = runs.join(last, ["video_id", "_chunk"]).withColumn("_new", F.coalesce(F.col("a") > before + 3, F.lit(True))).drop("_chunk", "_last")
+    runs = nearest(runs, "video_id", "a", F.col("_new"), chunk)
+    chain = F.when(F.col("_new"), F.col("a")).otherwise(F.col("previous_marked"))
+    runs = chunked(runs.select("video_id", "a", "b", chain.alias("chain")), "chain", chunk).join(videos.select("video_id", "n_frames"), "video_id")
+    return runs.groupBy("video_id", "_chunk").applyInPandas(_fold, "video_id string, st bigint, b bigint, prev bigint, src bigint, n bigint, div bigint")
+
+
+def _fold(runs: pd.DataFrame) -> pd.DataFrame:
+    """The segments of whole chains of islands (a, b, chain) in order."""
+    runs = runs.sort_values("a")
+    n_frames, out = int(runs["n_frames"].iloc[0]), []
+    at, cursor, last = None, 0, None
+    for a, b, chain in zip(runs["a"].tolist(), runs["b"].tolist(), runs["chain"].tolist()):
+        if chain != at:
+            at, cursor, last = chain, 0, None
+        if b < cursor:
+            continue
+        st = max(a, cursor)
+        src = b + 2 if b + 2 < n_frames else None
+        prev = last if last is not None and st == cursor else st - 1 if st > 0 else None
+        out.append((st, b, prev, src, b - st + (1 if src is None else 2), None if src is None else b - st + 3))
+        cursor, last = b + (1 if src is None else 3), st
+    found = pd.DataFrame(out, columns=["st", "b", "prev", "src", "n", "div"]).astype("Int64")
+    found.insert(0, "video_id", runs["video_id"].iloc[0])
+    return found
 
 
 def blends(segs: DataFrame, number: bool = True, chunk: int = CHUNK) -> DataFrame:
@@ -89,7 +104,7 @@ def repair(frames: DataFrame, marks: DataFrame, videos: DataFrame, value: str =
     for ints it is lerp(), for arrays of ints pass lerp_arrays, for images an Arrow function.
     """
     blend = blend or lerp
-    segs = segments(marks, videos, chunk)
+    segs = written(segments(marks, videos, chunk))  # read three times below
     b = blends(segs, chunk=chunk)
     ends = frames.select("video_id", "fn", F.col(value).alias("_v"))
     p = ends.select("video_id", F.col("fn").alias("prev"), F.col("_v").alias("_p"))

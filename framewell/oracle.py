@@ -148,7 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "rotate_90": _rotate("23 - y", "x"),
         "rotate_180": _rotate("23 - x", "23 - y"),
         "rotate_270": _rotate("y", "23 - x"),
-        "working_size": f"WITH {_GEOMETRY} SELECT width, height, rotation, CASE WHEN rotation IN (90, 270) THEN trunc(height * 0.5::DOUBLE) ELSE trunc(width * 0.75::DOUBLE) END::INTEGER AS fw, trunc(height * 0.5::DOUBLE)::INTEGER AS fh FROM geometry, (VALUES (0), (90), (180), (270)) AS r(rotation)",
+        "working_size": f"WITH {_GEOMETRY} SELECT width, height, rotation, trunc((CASE WHEN rotation IN (90, 270) THEN height ELSE width END)::FLOAT * 0.75::FLOAT)::INTEGER AS fw, trunc(height::FLOAT * 0.5::FLOAT)::INTEGER AS fh FROM geometry, (VALUES (0), (90), (180), (270)) AS r(rotation)",
         "undistort_lut": f"WITH {_lut(64, 48, 0.5)} SELECT x, y, round(ux, 4) + 0.0 AS ux, round(uy, 4) + 0.0 AS uy FROM lut",
         "undistort_remap": _remap(),
         "tone_curve": f"WITH {IMAGE} SELECT fn, x, y, " + ", ".join(f"{_tone(f'{c}::DOUBLE / 255', 1.2, -0.05, 0.8)} AS {c}" for c in "bgr") + " FROM pixels",
