@@ -379,17 +379,31 @@ def tree_join(left: Tree, right: Tree | None = None, similarity: tuple[int, int]
     return links
 
 
-def _sets(b: pd.DataFrame, n: int) -> list[tuple[int, np.ndarray, int]]:
+def _kept_sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """(text, cls) -> (cls, set), a class once in a task as far as is remembered."""
+    done: set[int] = set()
+    for b in batches:
+        rows = []
+        for text, c in zip(b["text"], b["cls"]):
+            if c not in done:
+                if len(done) < 1 << 20:
+                    done.add(c)
+                rows.append((c, shingles(text, n).tobytes()))
+        yield pd.DataFrame(rows, columns=["cls", "set"])
+    _words.clear()  # workers are used again by other stages
+
+
+def _sets(b: pd.DataFrame) -> list[tuple[int, np.ndarray, int]]:
     """(class, set, known component), near copies often side by side, since they often share their least hash."""
-    held = [(int(c), shingles(t, n), int(k)) for t, c, k in zip(b["text"], b["cls"], b["known"])]
+    held = [(int(c), np.frombuffer(x, np.uint64), int(k)) for x, c, k in zip(b["set"], b["cls"], b["known"])]
     return sorted(held, key=lambda x: (x[1][:1].tolist(), len(x[1]), x[0]))
 
 
-def _group(b: pd.DataFrame, n: int, similarity: tuple[int, int], use_known: bool = False) -> pd.DataFrame:
-    """Blocks, or one pair of a block's chunks (block, side, known, cls, text) -> links src, dst to the least of each component."""
+def _group(b: pd.DataFrame, similarity: tuple[int, int], use_known: bool = False) -> pd.DataFrame:
+    """Blocks, or one pair of a block's chunks (block, side, known, cls, set) -> links src, dst to the least of each component."""
     src, dst = [], []
     for _, of in b.groupby("block", sort=False):
-        left, right = (_sets(of[of["side"] == side], n) for side in (0, 1))
+        left, right = (_sets(of[of["side"] == side]) for side in (0, 1))
         if not left:
             continue
         names = np.array([c for c, _, _ in left + right], np.int64)
@@ -412,9 +426,9 @@ def _least(names: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
     return least[label]
 
 
-def _label(b: pd.DataFrame, n: int, similarity: tuple[int, int]) -> pd.DataFrame:
-    """One chunk (cls, text) -> each class and the least class of its component within the chunk."""
-    sets = _sets(b.assign(known=0), n)
+def _label(b: pd.DataFrame, similarity: tuple[int, int]) -> pd.DataFrame:
+    """One chunk (cls, set) -> each class and the least class of its component within the chunk."""
+    sets = _sets(b.assign(known=0))
     names = np.array([c for c, _, _ in sets], np.int64)
     return pd.DataFrame({"cls": names, "label": _least(names, tree_join(Tree([s for _, s, _ in sets]), None, similarity))})
 
@@ -481,18 +495,23 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     the block's largest component by now, with itself and with the rest of the block.
     """
     # Never a broadcast: the classes of blocks grow with the corpus, so the plan is one and the same at every size.
-    texts = lambda dealt: keyed.join(dealt.withColumnRenamed("cls", "_cls").hint("merge"), F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).drop("_cls", "id", "first")
     edges = "src bigint, dst bigint"
     sized = blocks.join(known.select("cls", "n"), "cls").join(of.select("cls", "first"), "cls")
     placed = keep(_numbered(sized, ["block"], chunk))
+    # The texts of blocks are read once; from here on their sets go along.
+    wanted = placed.select(F.col("cls").alias("_cls"), "first").hint("merge")
+    found = keyed.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).select("text", "cls")
+    found = found.mapInPandas(lambda it: _kept_sets(it, n), "cls bigint, set binary")
+    sets = keep(found.groupBy("cls").agg(F.first("set").alias("set")))
+    with_sets = lambda dealt: dealt.hint("merge").join(sets, "cls")
     small, large = placed.where(F.col("m") <= chunk), placed.where(F.col("m") > chunk)
     bins = max(-(-small.count() // (chunk // 2)), 1)
-    small = small.select("cls", "first", "block", F.lit(0).alias("side"), F.lit(0).alias("known"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
-    found = texts(small).groupBy("bin").applyInPandas(lambda g: _group(g, n, similarity), edges)
+    small = small.select("cls", "block", F.lit(0).alias("side"), F.lit(0).alias("known"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
+    found = with_sets(small).groupBy("bin").applyInPandas(lambda g: _group(g, similarity), edges)
     if large.isEmpty():
         return found
 
-    inside = texts(large.select("cls", "first", "block", "chunk")).groupBy("block", "chunk").applyInPandas(lambda g: _label(g, n, similarity), "cls bigint, label bigint")
+    inside = with_sets(large.select("cls", "block", "chunk")).groupBy("block", "chunk").applyInPandas(lambda g: _label(g, similarity), "cls bigint, label bigint")
     inside = keep(inside)
     large = large.join(inside, "cls")
     found = found.unionByName(inside.select(F.col("cls").alias("src"), F.col("label").alias("dst")))
@@ -501,7 +520,7 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     first = per.withColumn("rank", F.row_number().over(Window.partitionBy("block", "chunk").orderBy(F.desc("c"), "label"))).where(F.col("rank") <= HEADS)
     groups = per.groupBy("block").agg(F.max("chunk").alias("last"))
     heads = first.join(groups, "block").select(F.col("label").alias("cls"), "block", F.pmod(F.xxhash64("chunk"), F.floor((F.col("last") + 1) * HEADS / chunk) + 1).alias("bin"), F.lit(0).alias("side"), F.lit(0).alias("known"))
-    met = texts(heads.join(of.select("cls", "first"), "cls")).groupBy("block", "bin").applyInPandas(lambda g: _group(g, n, similarity), edges)
+    met = with_sets(heads).groupBy("block", "bin").applyInPandas(lambda g: _group(g, similarity), edges)
     met = keep(met)
     found = found.unionByName(met)
 
@@ -519,13 +538,13 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     pairs = here.join(there, "block").where((F.col("one") <= F.col("two")) & (b * F.col("hi") >= a * F.col("lo2")) & (b * F.col("hi2") >= a * F.col("lo")) & ~one_component)
     # A chunk of the rest meets only those classes of another that share a prefix n-gram with one of its own.
     place = F.struct("rest", "chunk")
-    entries = known.select("cls", F.explode("grams").alias("gram")).join(again.select("cls", "block", place.alias("one")), "cls")
+    entries = known.select("cls", "grams").join(again.select("cls", "block", place.alias("one")), "cls").select("cls", F.explode("grams").alias("gram"), "block", "one")
     shared = entries.where("one.rest = 1").select("gram", "block", F.col("one").alias("two")).distinct()
     meets = entries.join(shared, ["gram", "block"]).where("one <= two").select("cls", "block", "one", "two").distinct()
-    columns = ["cls", "first", "block", "side", F.col("label").alias("known"), "one", "two"]
-    held = again.select("cls", "first", "block", "label", place.alias("place"))
+    columns = ["cls", "block", "side", F.col("label").alias("known"), "one", "two"]
+    held = again.select("cls", "block", "label", place.alias("place"))
     left = meets.join(pairs.select("block", "one", "two"), ["block", "one", "two"]).join(held.drop("block", "place"), "cls").withColumn("side", F.lit(0))
     right = pairs.where("one <> two").select("block", "one", "two").join(held.withColumnRenamed("place", "two"), ["block", "two"]).withColumn("side", F.lit(1))
     dealt = left.select(*columns).unionByName(right.select(*columns))
-    rest = texts(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: _group(g, n, similarity, True), edges)
+    rest = with_sets(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: _group(g, similarity, True), edges)
     return found.unionByName(rest)
