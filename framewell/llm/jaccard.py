@@ -446,7 +446,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // part_chars))
     texts = keyed.select("text", "cls")
 
-    often = texts.mapInPandas(lambda it: _often(it, n, 1 << 20), "gram bigint, count bigint")
+    often = texts.mapInPandas(lambda it: _often(it, n, 1 << 19), "gram bigint, count bigint")
     # Their classes sum up to half of all characters at most, so there are 2^16 at most.
     often = often.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") > max(least_frequent, chars >> 17)).select("gram").collect()
     frequent = np.sort(np.array([r[0] for r in often], np.int64).astype(np.uint64))
@@ -501,8 +501,8 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     # The texts of blocks are read once; from here on their sets go along.
     wanted = placed.select(F.col("cls").alias("_cls"), "first").hint("merge")
     found = keyed.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).select("text", "cls")
-    found = found.mapInPandas(lambda it: _kept_sets(it, n), "cls bigint, set binary")
-    sets = keep(found.groupBy("cls").agg(F.first("set").alias("set")))
+    # Rows of one id and class meet in a task, which keeps one of them; a second one would only cost.
+    sets = keep(found.mapInPandas(lambda it: _kept_sets(it, n), "cls bigint, set binary"))
     with_sets = lambda dealt: dealt.hint("merge").join(sets, "cls")
     small, large = placed.where(F.col("m") <= chunk), placed.where(F.col("m") > chunk)
     bins = max(-(-small.count() // (chunk // 2)), 1)
