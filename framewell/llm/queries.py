@@ -48,6 +48,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest("_edited_fp").alias("edited_fingerprint"),
         likeness(F.col("_hashes"), hashes("_edited_fp")).alias("near_edited"),
         likeness(F.col("_hashes"), F.col("_next")).alias("near_next"),
+        # With the ids both uses of the dealt rows read the same columns, so that they are shuffled once.
+        F.col("_next_id").alias("next_id"),
     )
 
 

@@ -123,7 +123,7 @@ def _buckets(docs: DataFrame, id_col: str, bytes_each: int, quantiles: int) -> t
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", bytes_each: int = 16 << 20, quantiles: int = 4096) -> DataFrame:
-    """docs(id, text) -> id, _text, _chars, _edited, _fp, _edited_fp, _next (hashes of the next document).
+    """docs(id, text) -> id, _text, _chars, _edited, _fp, _edited_fp, _next (hashes of the next document), _next_id.
 
     The next document follows in descending order of ids; after the last comes the first.  Rows are dealt
     once, by ranges of that order, and the first text of each range is handed to the range before, so no
@@ -135,15 +135,16 @@ def edited(docs: DataFrame, id_col: str = "doc_id", bytes_each: int = 16 << 20,
     n_tasks = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(id_col, F.col("text").alias("_text"), "_k", "_h", "_bucket").repartition(n_tasks, "_bucket")
     order = Window.partitionBy("_bucket").orderBy(F.desc("_k"), "_h")
-    firsts = dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_bucket", F.col("_text").alias("_first"))
+    firsts = dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_bucket", F.col("_text").alias("_first"), F.col(id_col).alias("_first_id"))
     every = Window.orderBy("_bucket")
     before = F.coalesce(F.lag("_bucket").over(every), F.last("_bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     handed = firsts.select("_bucket").withColumn("_to", before).join(firsts, "_bucket")
-    handed = entries(handed, "_first", "_first_fp", sliding=True).select(F.col("_to").alias("_bucket"), "_first", hashes("_first_fp").alias("_first_hashes"))
+    handed = entries(handed, "_first", "_first_fp", sliding=True).select(F.col("_to").alias("_bucket"), "_first", "_first_id", hashes("_first_fp").alias("_first_hashes"))
 
     fp = entries(dealt, "_text", "_fp", sliding=True).withColumn("_hashes", hashes("_fp"))
-    fp = fp.withColumns({"_next": F.lead("_hashes").over(order), "_next_text": F.lead("_text").over(order)}).join(handed, "_bucket")
-    fp = fp.withColumns({"_next": F.coalesce("_next", "_first_hashes"), "_next_text": F.coalesce("_next_text", "_first")})
+    fp = fp.withColumns({"_next": F.lead("_hashes").over(order), "_next_text": F.lead("_text").over(order), "_next_id": F.lead(id_col).over(order)}).join(handed, "_bucket")
+    end = F.col("_next_text").isNull()
+    fp = fp.withColumns({"_next_id": F.when(end, F.col("_first_id")).otherwise(F.col("_next_id")), "_next": F.coalesce("_next", "_first_hashes"), "_next_text": F.coalesce("_next_text", "_first")})
     n = F.char_length("_text")
     fp = fp.withColumn("_chars", n.cast("long")).withColumn("_cut", F.floor(F.col("_chars") / 3).cast("int"))
     fp = fp.withColumn("_edited", F.concat(F.substr("_text", F.lit(1), F.col("_chars").cast("int") - F.col("_cut")), F.substr("_next_text", F.lit(1), F.col("_cut"))))

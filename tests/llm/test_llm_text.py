@@ -141,6 +141,7 @@ def test_fingerprint_query_is_brute_force(spark, tmp_path):
     found = {r["doc_id"]: r for r in queries.op5_fingerprints(spark, str(tmp_path)).collect()}
     order = sorted(((i, t or "") for i, t, *_ in rows), reverse=True)
     after = {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
+    after_id = {i: order[(n + 1) % len(order)][0] for n, (i, _) in enumerate(order)}
     text = dict(order)
     cut = {i: text[i][: len(text[i]) - len(text[i]) // 3] + after[i][: len(text[i]) // 3] for i in text}
     known = token_hashes(spark, [x for t in [*text.values(), *cut.values()] for x in brute_tokens(t)])
@@ -153,6 +154,7 @@ def test_fingerprint_query_is_brute_force(spark, tmp_path):
         r = found[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(cut[i].encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (told(t), told(cut[i]))
+        assert r["next_id"] == after_id[i]
         assert r["near_edited"] == pytest.approx(near(t, cut[i])) and r["near_next"] == pytest.approx(near(t, after[i]))
 
 
