@@ -102,7 +102,7 @@ def undistort(image: np.ndarray, alpha: float = -1.0, gain: float = 1.0, bias: f
 
 @dataclass(frozen=True)
 class Undistort:
-    """Settings of the undistort tool; None takes the first input's size, turned with a quarter turn."""
+    """Settings of the undistort tool; None or 0 takes the first input's size, turned with a quarter turn."""
 
     rotation: int = 0
     width: int | None = None

@@ -2,15 +2,27 @@
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOPOLOGY = (257, 257, 257, 1)
 
 
+class Classifier(Protocol):
+    """What training and scoring ask of a classifier; Model is one, and others may take its place."""
+
+    def step(self, x: np.ndarray, target: np.ndarray) -> None:
+        """Learn one example: a feature vector and the outputs it should have."""
+
+    def classify(self, x: np.ndarray) -> np.ndarray:
+        """Outputs (a row for each row of x), the first of which is the score."""
+
+
 @dataclass
 class Model:
     layer_counts: tuple[int, ...] = TOPOLOGY
@@ -22,6 +34,10 @@ class Model:
         if len(self.layer_counts) < 3:
             raise ValueError("a model has three layers at least")
 
+    @property
+    def dtype(self) -> np.dtype:
+        return self.weights[0].dtype
+
     @property
     def num_layers(self) -> int:
         return len(self.layer_counts)
@@ -111,12 +127,24 @@ def _layer_sql(a: Column, rows: Column, beta: float) -> Column:
     return F.transform(rows, lambda row: 1 / (1 + F.exp(-beta * dot(row))))
 
 
-def train(model: Model, examples: DataFrame, order: list[str], features: str = "features", label: str = "label") -> Model:
+def train(model: Classifier, examples: DataFrame, order: list[str], features: str = "features", label: str = "label") -> Classifier:
     """One pass of online steps in the given order, which is a sequence by nature.
 
-    Examples come to the driver partition by partition; its memory is the largest partition and the model.
+    One task takes the examples, sorted with spilling, batch by batch, and returns the model; it is run
+    again if its executor is lost.  The given model takes on what was learned.
     """
-    for row in examples.orderBy(*order).select(features, label).toLocalIterator(prefetchPartitions=True):
-        w = model.weights[0].dtype
-        model.step(np.asarray(row[0], w), np.asarray([row[1]], w))
+    start = cloudpickle.dumps(model)
+    sent = examples.select(F.struct(*order).alias("at"), F.col(features).alias("x"), F.col(label).alias("t"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = cloudpickle.loads(start)
+        kind = getattr(m, "dtype", np.float32)
+        for b in batches:
+            for x, t in zip(b["x"], b["t"]):
+                m.step(np.asarray(x, kind), np.asarray([t], kind))
+        yield pd.DataFrame({"model": [cloudpickle.dumps(m)]})
+
+    learned = sent.repartition(1).sortWithinPartitions("at").select("x", "t").mapInPandas(work, "model binary").first()
+    if learned:
+        model.__dict__.update(cloudpickle.loads(bytes(learned["model"])).__dict__)
     return model

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewell.functions.scalars import percentage
 from framewell.operators.features import planes, tile
-from framewell.operators.mlp import Model
+from framewell.operators.mlp import Classifier
 
 THRESHOLD = 0.5
 SCORES = ["blocks", "positive", "mean_output"]
@@ -31,17 +31,15 @@ def classified(scores: DataFrame, least: float = 0.0) -> DataFrame:
     return scores.where(F.coalesce(F.col("fraction") > least, F.lit(False))).select("video_id", "fn")
 
 
-def score_frames(frames: DataFrame, model: Model) -> DataFrame:
+def score_frames(frames: DataFrame, model: Classifier) -> DataFrame:
     """frames -> frame_scores() without a row for each block: tiled, scored and counted in one pass."""
-    layers, beta, weights = model.layer_counts, model.beta, model.weights
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(layers, beta=beta, weights=weights)
         for b in batches:
             rows = []
             for r in b.itertuples():
                 v = tile(np.stack([np.frombuffer(h, np.float32).reshape(r.height, r.width) for h in (r.h0, r.h1, r.h2, r.h3)]))
-                o = np.concatenate([m.classify(v[i : i + 4096])[:, 0] for i in range(0, len(v), 4096)]) if len(v) else np.empty(0)
+                o = np.concatenate([model.classify(v[i : i + 4096])[:, 0] for i in range(0, len(v), 4096)]) if len(v) else np.empty(0)
                 rows.append((r.video_id, r.fn, len(o), int((o > THRESHOLD).sum()), float(o.astype(np.float64).mean()) if len(o) else None))
             yield pd.DataFrame(rows, columns=["video_id", "fn", *SCORES])
 

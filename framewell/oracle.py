@@ -121,6 +121,63 @@ def _remap() -> str:
 SELECT p.fn, p.x, p.y, {value('b')}, {value('g')}, {value('r')} FROM pixels p LEFT JOIN taps t ON t.x = p.x AND t.y = p.y {joins}"""
 
 
+def _axis(name: str, n: int, m: int) -> str:
+    """Two source places and a weight for each of m places along n pixels."""
+    return f"{name} AS (SELECT i, greatest(floor(t), 0)::INTEGER AS lo, least(floor(t) + 1, {n - 1})::INTEGER AS hi, (t - floor(t))::FLOAT AS o FROM (SELECT i, (i + 0.5::DOUBLE) * {n} / {m} - 0.5::DOUBLE AS t FROM range({m}) r(i)))"
+
+
+def _resized(width: int, height: int, red: str = "false") -> str:
+    """The 24x24 image in another size, in single precision; all red where the condition holds."""
+
+    def value(c: str) -> str:
+        row = lambda a, b: f"({a}.{c}::FLOAT * (1::FLOAT - v.o) + {b}.{c}::FLOAT * v.o)"
+        out = f"round_even(({row('a', 'b')} * (1::FLOAT - u.o) + {row('d', 'e')} * u.o)::DOUBLE, 0)::INTEGER"
+        return f"CASE WHEN {red} THEN {255 if c == 'r' else 0} ELSE {out} END AS {c}"
+
+    joins = " ".join(f"JOIN pixels {p} ON {p}.x = u.{x} AND {p}.y = v.{y}" + (f" AND {p}.fn = a.fn" if p != "a" else "") for p, x, y in (("a", "lo", "lo"), ("b", "lo", "hi"), ("d", "hi", "lo"), ("e", "hi", "hi")))
+    return f"WITH {IMAGE}, {IMAGE_MARKS}, {_axis('u', 24, width)}, {_axis('v', 24, height)} SELECT a.fn, u.i::INTEGER AS x, v.i::INTEGER AS y, {value('b')}, {value('g')}, {value('r')} FROM u CROSS JOIN v {joins}"
+
+
+IMAGE_MARKS = "bad AS (SELECT vec_id // 9 AS fn FROM embeddings, cut WHERE vec_id < n AND vec_id % 9 = 0 AND label IN (0, 1))"
+
+
+def _unsharp() -> str:
+    """Two passes of 19 taps, mirrored at the edges, each summed in order in single precision."""
+
+    def blurred(c: str) -> str:
+        place = "abs(p + i - 9)"
+        return f"list_transform(range(24), lambda p: list_reduce(list_transform(range(19), lambda i: k[i + 1] * {c}[CASE WHEN {place} >= 24 THEN 46 - {place} ELSE {place} END + 1]), lambda s, t: s + t)) AS {c}"
+
+    three = ", ".join(blurred(c) for c in "bgr")
+    lists = lambda by: ", ".join(f"list({c}::FLOAT ORDER BY {by}) AS {c}" for c in "bgr")
+    flat = ", ".join(f"unnest({c}) AS {c}" for c in "bgr")
+    sharp = ", ".join(f"greatest(0, least(255, round_even(1.5::DOUBLE * p.{c} - 0.5::DOUBLE * greatest(0, least(255, round_even(s.{c}::DOUBLE, 0))), 0)))::INTEGER AS {c}" for c in "bgr")
+    return f"""WITH {IMAGE}, taps AS (SELECT i, exp(-0.5::DOUBLE * ((i - 9) / 3.0::DOUBLE) ** 2) AS t FROM range(19) r(i)),
+kernel AS (SELECT list((t / (SELECT sum(t) FROM taps))::FLOAT ORDER BY i) AS k FROM taps),
+columns_ AS (SELECT fn, x, {lists('y')} FROM pixels GROUP BY fn, x),
+down AS (SELECT fn, x, {three} FROM columns_, kernel),
+cells AS (SELECT fn, x, unnest(range(24)) AS y, {flat} FROM down),
+rows_ AS (SELECT fn, y, {lists('x')} FROM cells GROUP BY fn, y),
+across AS (SELECT fn, y, {three} FROM rows_, kernel),
+soft AS (SELECT fn, y, unnest(range(24)) AS x, {flat} FROM across)
+SELECT p.fn, p.x, p.y, {sharp} FROM pixels p JOIN soft s ON s.fn = p.fn AND s.x = p.x AND s.y = p.y"""
+
+
+def _interpolated() -> str:
+    """The repair of the 24x24 video, blended pixel by pixel in single precision."""
+    series = "series AS (SELECT i AS fn, i IN (SELECT fn FROM bad) AS marked FROM cut, range((SELECT n // 9 FROM cut)) r(i))"
+    mixed = ", ".join(f"CASE WHEN p.fn IS NULL THEN q.{c} ELSE trunc(greatest(0::FLOAT, least(255::FLOAT, p.{c}::FLOAT * (1 - m.alpha)::FLOAT + q.{c}::FLOAT * m.alpha::FLOAT)))::INTEGER END AS {c}" for c in "bgr")
+    return f"""WITH RECURSIVE {IMAGE}, {IMAGE_MARKS}, {SEGMENTS.replace(SERIES, series)}, made AS (
+  SELECT st AS place, i, CASE WHEN src IS NULL THEN coalesce(prev, st + i) ELSE coalesce(prev, src) END AS one, coalesce(src, prev, st + i) AS two,
+    CASE WHEN src IS NULL THEN 0::DOUBLE ELSE i::DOUBLE / div END AS alpha, CASE WHEN src IS NULL THEN 'hold' ELSE 'blend' END AS kind
+  FROM (SELECT *, unnest(range(n)) AS i FROM segments)
+), taken AS (SELECT unnest(range(st, coalesce(src, b) + 1)) AS fn FROM segments),
+every AS (
+  SELECT * FROM made UNION ALL SELECT fn, 0, fn, fn, 0::DOUBLE, 'copy' FROM series WHERE fn NOT IN (SELECT fn FROM taken)
+), numbered_out AS (SELECT row_number() OVER (ORDER BY place, i) - 1 AS out_fn, * FROM every)
+SELECT m.out_fn, m.kind, q.x, q.y, {mixed} FROM numbered_out m JOIN pixels q ON q.fn = m.two LEFT JOIN pixels p ON p.fn = m.one AND p.x = q.x AND p.y = q.y"""
+
+
 def _rotate(x: str, y: str) -> str:
     return f"WITH {IMAGE} SELECT fn, ({x})::INTEGER AS x, ({y})::INTEGER AS y, b, g, r FROM pixels"
 
@@ -154,6 +211,17 @@ def oracle_sql() -> dict[str, str]:
         "tone_curve": f"WITH {IMAGE} SELECT fn, x, y, " + ", ".join(f"{_tone(f'{c}::DOUBLE / 255', 1.2, -0.05, 0.8)} AS {c}" for c in "bgr") + " FROM pixels",
         "aspect_crop": f"WITH {IMAGE} SELECT fn, x, y - 4 AS y, b, g, r FROM pixels WHERE y BETWEEN 4 AND 19",
         "pixel_lerp": f"WITH {IMAGE} SELECT p.fn, p.x, p.y, {lerp('b')}, {lerp('g')}, {lerp('r')} FROM pixels p JOIN pixels s ON s.fn = p.fn + 1 AND s.x = p.x AND s.y = p.y",
+        "resize": _resized(40, 30),
+        "preview": _resized(9, 9, "a.fn IN (SELECT fn FROM bad)"),
+        "unsharp": _unsharp(),
+        "interpolate_frames": _interpolated(),
+        "avi_round_trip": f"WITH {IMAGE} SELECT fn, x, y, b, g, r FROM pixels",
+        "avi_metadata": f"WITH {IMAGE} SELECT 0 AS fourcc, 24 AS width, 24 AS height, 25.0::DOUBLE AS fps, 0 AS format, 0 AS iso_speed, count(DISTINCT fn) AS declared_frames FROM pixels",
+        "seek": f"WITH {SERIES} SELECT fn, value FROM series WHERE fn BETWEEN 500 AND 599",
+        "progress_log": f"WITH {SERIES} SELECT count(*) AS frames, count(*) FILTER (marked OR value IS NULL) AS unreadable, min(fn) AS first_fn, max(fn) AS last_fn FROM series",
+        "input_list": "SELECT event_id, unnest([0, 1, 2, 3])::INTEGER AS place, unnest([event_type, user_id::VARCHAR, '', '']) AS name FROM events",
+        "sigmoid_slope": "SELECT event_id, round(v, 6) AS v, round(v * (1 - v), 6) AS slope FROM (SELECT event_id, 1 / (1 + exp(-0.5::DOUBLE * (value / 100 - 2))) AS v FROM events)",
+        "output_size": f"WITH {_GEOMETRY}, asked(set_width, set_height) AS (VALUES (0, 0), (320, 0), (0, 200), (320, 200)) SELECT width, height, rotation, set_width, set_height, coalesce(nullif(set_width, 0), CASE WHEN rotation IN (90, 270) THEN height ELSE width END) AS out_width, coalesce(nullif(set_height, 0), CASE WHEN rotation IN (90, 270) THEN width ELSE height END) AS out_height FROM geometry, (VALUES (0), (90), (180), (270)) AS r(rotation), asked",
         "mlp_score": f"WITH {SCORES} SELECT fn, round(output, 4) AS output FROM scored",
         "frame_scores": f"WITH {FRAME_SCORES} SELECT fn, blocks, positive, round(mean_output, 4) AS mean_output, round(positive::DOUBLE / blocks, 4) AS fraction, trunc(positive::DOUBLE / blocks * 100)::INTEGER AS percent FROM frames",
         "classified_marks": f"WITH {FRAME_SCORES} SELECT fn FROM frames WHERE positive::DOUBLE / blocks > 0.5",

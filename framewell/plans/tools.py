@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.operators import features, images, marks, mlp, repair, scoring
-from framewell.sources import marked_file, model_file
-from framewell.sources.frames import concat_inputs, frame_count
+from framewell.sources import marked_file, model_file, paths
+from framewell.sources.frames import concat_inputs, frame_count, parse_avi, read_videos, write_avi
 
 
 def undistort(inputs: list[DataFrame], params: images.Undistort = images.Undistort()) -> DataFrame:
@@ -36,7 +36,7 @@ def interpolate(frames: DataFrame, marked: DataFrame) -> DataFrame:
     return repair.repair(readable.select("video_id", "fn", "data"), marked, videos, "data", images.blend_images)
 
 
-def train(frames: DataFrame, marked: DataFrame, model: mlp.Model | None = None, seed: int = 0) -> mlp.Model:
+def train(frames: DataFrame, marked: DataFrame, model: mlp.Classifier | None = None, seed: int = 0) -> mlp.Classifier:
     """One pass over the blocks of the sampled frames; their order is frame, row, column.
 
     Only the sampled frames and the three before each are cut into blocks: the choice of frames comes
@@ -50,13 +50,21 @@ def train(frames: DataFrame, marked: DataFrame, model: mlp.Model | None = None,
     return mlp.train(model or mlp.Model.init(seed=seed), examples, ["video_id", "fn", "by", "bx"])
 
 
-def classify(frames: DataFrame, model: mlp.Model | None) -> DataFrame:
+def classify(frames: DataFrame, model: mlp.Classifier | None) -> DataFrame:
     """The frames with a positive block.  Without a model it raises: a random one says nothing."""
     if model is None:
         raise ValueError("a model is needed to classify")
     return scoring.classified(scoring.score_frames(frames, model))
 
 
-def classify_files(spark: SparkSession, frames: DataFrame, model_path: str, marked_path: str) -> None:
-    """classify() from a classifier file to a marked file, which is replaced."""
+def classify_files(spark: SparkSession, frames: DataFrame, model_path: str, marked_path: str, overwrite: bool = False) -> None:
+    """classify() from a classifier file to a marked file, which is replaced only if that is asked for."""
+    paths.check(spark, [model_path], marked_path, overwrite)
     marked_file.write(classify(frames, model_file.load(spark, model_path)), marked_path)
+
+
+def undistort_files(spark: SparkSession, inputs: str, output: str, params: images.Undistort = images.Undistort(), decode=parse_avi, fps: float = 25.0, overwrite: bool = False) -> None:
+    """undistort() from a comma-separated list of video files or folders to AVI files."""
+    names = [x.strip() for x in inputs.split(",")]
+    paths.check(spark, names, output, overwrite)
+    write_avi(undistort([read_videos(spark, x, decode) for x in names], params), output, fps, overwrite=overwrite)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framewell.cluster import shared_dir
 from framewell.functions import scalars
-from framewell.operators import features, images, marks, mlp, pixels, repair, scoring
+from framewell.operators import features, images, marks, mlp, pixels, progress, repair, scoring
 from framewell.plans import tools
 from framewell.sources import fixtures, frames as frame_sources, marked_file, model_file
 
@@ -136,12 +136,19 @@ def _digest(frames: DataFrame) -> DataFrame:
     return frames.select("fn", "width", "height", F.md5("data").alias("md5"))
 
 
+def _pixels(frames: DataFrame, *columns: str) -> DataFrame:
+    """A row for each pixel of each frame: the columns, x, y, b, g, r."""
+    at = lambda k: F.conv(F.substr("h", 6 * F.col("i") + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    p = frames.select(*columns, "width", F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
+    return p.select(*columns, (F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), at(0).alias("b"), at(1).alias("g"), at(2).alias("r"))
+
+
 def unsharp(spark, sf_dir):
-    return _digest(images.transform(fixtures.frames(spark, sf_dir), images.unsharp))
+    return _pixels(images.transform(fixtures.frames(spark, sf_dir), images.unsharp), "fn")
 
 
 def resize(spark, sf_dir):
-    return _digest(images.transform(fixtures.frames(spark, sf_dir), lambda x: images.resize(x, 40, 30)))
+    return _pixels(images.transform(fixtures.frames(spark, sf_dir), lambda x: images.resize(x, 40, 30)), "fn")
 
 
 def undistort_frames(spark, sf_dir):
@@ -150,11 +157,53 @@ def undistort_frames(spark, sf_dir):
 
 def interpolate_frames(spark, sf_dir):
     out = tools.interpolate(fixtures.frames(spark, sf_dir), fixtures.image_marks(spark, sf_dir))
-    return out.select("out_fn", "kind", F.md5("data").alias("md5"))
+    return _pixels(out.withColumns({"width": F.lit(24), "height": F.lit(24)}), "out_fn", "kind")
 
 
 def preview(spark, sf_dir):
-    return _digest(images.preview(fixtures.frames(spark, sf_dir), fixtures.image_marks(spark, sf_dir)))
+    return _pixels(images.preview(fixtures.frames(spark, sf_dir), fixtures.image_marks(spark, sf_dir)), "fn")
+
+
+def avi_round_trip(spark, sf_dir):
+    path = shared_dir(spark)
+    frame_sources.write_avi(fixtures.frames(spark, sf_dir), path, part_bytes=2**24)
+    return _pixels(frame_sources.read_avi(spark, path), "fn")
+
+
+def avi_metadata(spark, sf_dir):
+    path = shared_dir(spark)
+    frame_sources.write_avi(fixtures.frames(spark, sf_dir), path, part_bytes=2**24)
+    return frame_sources.read_avi_metadata(spark, path).drop("video_id")
+
+
+def seek(spark, sf_dir):
+    return frame_sources.seek(fixtures.series(spark, sf_dir), 500, 100).select("fn", "value")
+
+
+def progress_log(spark, sf_dir):
+    s = fixtures.series(spark, sf_dir).withColumn("data", F.when(~F.col("marked"), F.col("value")))
+    passed, seen = progress.observed(s)
+    passed.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([progress.log(seen)], "frames bigint, unreadable bigint, first_fn bigint, last_fn bigint")
+
+
+def input_list(spark, sf_dir):
+    e = fixtures.events(spark, sf_dir).select("event_id", F.concat(F.lit("  "), "event_type", F.lit(" ,\t"), F.col("user_id").cast("string"), F.lit(" \n, ,")).alias("text"))
+    return e.select("event_id", F.posexplode(scalars.input_list(F.col("text"))).alias("place", "name"))
+
+
+def sigmoid_slope(spark, sf_dir):
+    v = scalars.sigmoid(F.col("value") / 100 - 2, 0.5)
+    return fixtures.events(spark, sf_dir).select("event_id", F.round(v, 6).alias("v"), F.round(scalars.sigmoid_slope(v), 6).alias("slope"))
+
+
+def output_size(spark, sf_dir):
+    rows = []
+    for w, h in fixtures.GEOMETRY:
+        for rotation in (0, 90, 180, 270):
+            for width, height in ((0, 0), (320, 0), (0, 200), (320, 200)):
+                rows.append((w, h, rotation, width, height, *images.Undistort(rotation=rotation, width=width, height=height).output(w, h)))
+    return spark.createDataFrame(rows, "width int, height int, rotation int, set_width int, set_height int, out_width int, out_height int")
 
 
 def _scores(spark, sf_dir):
@@ -244,5 +293,5 @@ def stream_repair(spark, sf_dir):
 
 
 def queries() -> dict:
-    plain = (repair_series, mark_islands, repair_segments, nearest_marks, toggle_marks, mark_join, mark_semi, mark_anti, trained_frames, timecode, fourcc, input_concat, frame_counts, block_history, block_grid, luminance, working_size, undistort_lut, undistort_remap, tone_curve, aspect_crop, pixel_lerp, unsharp, resize, undistort_frames, interpolate_frames, preview, mlp_score, frame_scores, classified_marks, mlp_train, classify_frames, score_frames, marking_session, marked_file_round_trip, model_file_round_trip, stream_history, stream_repair)
+    plain = (repair_series, mark_islands, repair_segments, nearest_marks, toggle_marks, mark_join, mark_semi, mark_anti, trained_frames, timecode, fourcc, input_concat, frame_counts, block_history, block_grid, luminance, working_size, undistort_lut, undistort_remap, tone_curve, aspect_crop, pixel_lerp, unsharp, resize, undistort_frames, interpolate_frames, preview, avi_round_trip, avi_metadata, seek, progress_log, input_list, sigmoid_slope, output_size, mlp_score, frame_scores, classified_marks, mlp_train, classify_frames, score_frames, marking_session, marked_file_round_trip, model_file_round_trip, stream_history, stream_repair)
     return {f.__name__: f for f in (*plain, *map(_rotated, (90, 180, 270)))}

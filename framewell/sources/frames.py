@@ -1,7 +1,8 @@
-"""Frames from image folders, uncompressed AVI files and tables; frames to tables."""
+"""Frames from image folders, AVI files, other video files by a given decoder, and tables; frames to tables and AVI files."""
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.operators.images import FRAMES
+from framewell.operators.ordered import running_count
+from framewell.sources.paths import check
 
 VIDEOS = "video_id string, fourcc int, width int, height int, fps double, format int, iso_speed int, declared_frames bigint"
 
@@ -69,34 +72,99 @@ def parse_avi(data: bytes) -> tuple[dict, list[bytes | None]]:
     return head, frames
 
 
-def build_avi(frames: list[bytes], width: int, height: int, fps: float = 25.0) -> bytes:
-    """An uncompressed AVI file of frames that are B, G, R by row."""
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+
+
+def _avi_head(n: int, width: int, height: int, fps: float, movi: int) -> bytes:
+    """All of an AVI file before its first frame; movi is the size of what follows."""
+    group = lambda name, body: b"LIST" + struct.pack("<I", len(body) + 4) + name + body
     stride = (3 * width + 3) & ~3
-    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
-    group = lambda kind, name, body: kind + struct.pack("<I", len(body) + 4) + name + body
-    avih = struct.pack("<14I", int(1e6 / fps), 0, 0, 0, len(frames), 0, 1, 0, width, height, 0, 0, 0, 0)
-    strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"DIB ", 0, 0, 0, 0, 1000, int(fps * 1000), 0, len(frames), 0, 0, 0, 0, 0, width, height)
+    avih = struct.pack("<14I", int(1e6 / fps), 0, 0, 0, n, 0, 1, 0, width, height, 0, 0, 0, 0)
+    strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"DIB ", 0, 0, 0, 0, 1000, int(fps * 1000), 0, n, 0, 0, 0, 0, 0, width, height)
     strf = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, stride * height, 0, 0, 0, 0)
-    body = b""
-    for f in frames:
-        rows = np.zeros((height, stride), np.uint8)
-        rows[:, : 3 * width] = np.frombuffer(f, np.uint8).reshape(height, 3 * width)
-        body += chunk(b"00db", rows[::-1].tobytes())
-    return group(b"RIFF", b"AVI ", group(b"LIST", b"hdrl", chunk(b"avih", avih) + group(b"LIST", b"strl", chunk(b"strh", strh) + chunk(b"strf", strf))) + group(b"LIST", b"movi", body))
+    hdrl = group(b"hdrl", _chunk(b"avih", avih) + group(b"strl", _chunk(b"strh", strh) + _chunk(b"strf", strf)))
+    return b"RIFF" + struct.pack("<I", 4 + len(hdrl) + 12 + movi) + b"AVI " + hdrl + b"LIST" + struct.pack("<I", 4 + movi) + b"movi"
 
 
-def read_avi(spark: SparkSession, path: str) -> DataFrame:
-    """frames of uncompressed AVI files; video_id is the path."""
+def _avi_frame(data: bytes, width: int, height: int) -> bytes:
+    """One frame's chunk: rows from the bottom, each padded to four bytes."""
+    rows = np.zeros((height, (3 * width + 3) & ~3), np.uint8)
+    rows[:, : 3 * width] = np.frombuffer(data, np.uint8).reshape(height, 3 * width)
+    return _chunk(b"00db", rows[::-1].tobytes())
+
+
+def build_avi(frames: list[bytes], width: int, height: int, fps: float = 25.0) -> bytes:
+    """An uncompressed AVI file of frames that are B, G, R by row."""
+    body = b"".join(_avi_frame(f, width, height) for f in frames)
+    return _avi_head(len(frames), width, height, fps, len(body)) + body
+
+
+#: An empty chunk that readers skip; Spark's text writer ends each of its rows with it.
+JUNK = "JUNK\0\0\0\0"
+
+
+def write_avi(frames: DataFrame, path: str, fps: float = 25.0, part_bytes: int = 2**30, overwrite: bool = False) -> None:
+    """Readable frames as uncompressed AVI files: video_id=.../part=.../ with one file each, in order of fn.
+
+    A video is cut into parts of `part_bytes` at most, as the format's sizes have 32 bits; parts are written
+    by separate tasks, frame by frame.  Only counts are gathered beforehand.  All frames of a video have one
+    size; another raises.
+    """
+    check(frames.sparkSession, [], path, overwrite)
+    readable = frames.where("data is not null").select(F.coalesce("video_id", F.lit("")).alias("video_id"), "fn", "width", "height", "data")
+    one = 8 + F.col("height") * F.floor((3 * F.col("width") + 3) / 4) * 4
+    one = (one + one % 2 + len(JUNK)).cast("bigint")
+    sizes = readable.groupBy("video_id").agg(F.min("width").alias("w"), F.max("width").alias("w2"), F.min("height").alias("h"), F.max("height").alias("h2"))
+    odd = sizes.where("w <> w2 or h <> h2").select("video_id").first()
+    if odd:
+        raise ValueError(f"frames of several sizes in {odd[0]!r}")
+    parts = running_count(readable, "video_id", "fn", F.lit(True), "nth").withColumns({"one": one, "part": F.floor((F.col("nth") - 1) / F.greatest(F.floor(part_bytes / one), F.lit(1))).cast("int")})
+    heads = parts.groupBy("video_id", "part", "width", "height", "one").agg(F.count("*").alias("n"), F.min("fn").alias("fn")).withColumns({"kind": F.lit(0), "data": F.lit(None).cast("binary")})
+    every = heads.unionByName(parts.drop("nth").withColumns({"kind": F.lit(1), "n": F.lit(None).cast("bigint")}))
+    laid = every.repartition("video_id", "part").sortWithinPartitions("video_id", "part", "kind", "fn")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"]):
-                head, found = parse_avi(data)
-                for i in range(0, len(found), 16):
-                    n = range(i, min(i + 16, len(found)))
-                    yield pd.DataFrame({"video_id": name, "fn": list(n), "msec": [k * 1000.0 / head["fps"] if head["fps"] else 0.0 for k in n], "width": head["width"], "height": head["height"], "data": [found[k] for k in n]})
+            for i in range(0, len(b), 16):
+                c = b.iloc[i : i + 16]
+                made = [_avi_head(int(r.n), r.width, r.height, fps, (int(r.n) * int(r.one)) + len(JUNK)) if r.kind == 0 else _avi_frame(r.data, r.width, r.height) for r in c.itertuples()]
+                yield pd.DataFrame({"video_id": c["video_id"], "part": c["part"], "kind": c["kind"], "fn": c["fn"], "chunk": made})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, FRAMES)
+    rows = laid.mapInPandas(work, "video_id string, part int, kind int, fn bigint, chunk binary")
+    # The order is stated once more, as Spark doesn't know that Python keeps it.
+    rows = rows.withColumn("video_id", F.coalesce("video_id", F.lit(""))).sortWithinPartitions("video_id", "part", "kind", "fn")
+    out = rows.select("video_id", "part", F.col("chunk").cast("string").alias("value"))
+    out.write.mode("overwrite").partitionBy("video_id", "part").option("lineSep", JUNK).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+
+
+Decoder = Callable[[bytes], tuple[dict, Iterable[bytes | None]]]
+
+
+def read_videos(spark: SparkSession, path: str, decode: Decoder) -> DataFrame:
+    """frames of video files; video_id is the path.
+
+    decode(content) gives a head (width, height, fps) and the frames' B, G, R bytes, None where a frame is
+    unreadable; any library that decodes compressed video can stand behind it.  Frames are taken one at a
+    time, so a decoder that yields them holds one.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                head, found = decode(content)
+                found, fn = iter(found), 0
+                while held := list(islice(found, 16)):
+                    n = range(fn, fn + len(held))
+                    fn += len(held)
+                    yield pd.DataFrame({"video_id": name, "fn": list(n), "msec": [k * 1000.0 / head["fps"] if head["fps"] else 0.0 for k in n], "width": head["width"], "height": head["height"], "data": held})
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(work, FRAMES)
+
+
+def read_avi(spark: SparkSession, path: str) -> DataFrame:
+    """frames of uncompressed AVI files; video_id is the path."""
+    return read_videos(spark, path, parse_avi)
 
 
 def read_avi_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +175,13 @@ def read_avi_metadata(spark: SparkSession, path: str) -> DataFrame:
             heads = [parse_avi(x)[0] for x in b["content"]]
             yield pd.DataFrame({"video_id": b["path"].array, "fourcc": [x["fourcc"] for x in heads], "width": [x["width"] for x in heads], "height": [x["height"] for x in heads], "fps": [x["fps"] for x in heads], "format": 0, "iso_speed": 0, "declared_frames": [x["declared_frames"] for x in heads]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, VIDEOS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(work, VIDEOS)
+
+
+def seek(frames: DataFrame, fn: int, n: int = 1, video_id: str | None = None) -> DataFrame:
+    """The n frames from fn on, of one video or of each; the condition reaches the scan of a table."""
+    found = frames.where((F.col("fn") >= fn) & (F.col("fn") < fn + n))
+    return found if video_id is None else found.where(F.col("video_id") == video_id)
 
 
 def frame_count(frames: DataFrame) -> DataFrame:

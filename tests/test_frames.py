@@ -254,3 +254,94 @@ def test_image_folder(spark, tmp_path):
     rows = frame_sources.read_images(spark, str(tmp_path), "v").orderBy("fn").collect()
     assert [r["fn"] for r in rows] == [0, 1, 2]
     assert bytes(rows[0]["data"]) == bytes((3, 2, 1)) * 2 and bytes(rows[1]["data"]) == bytes((30, 20, 10)) * 2 and rows[2]["data"] is None
+
+
+def test_avi_sink(spark, tmp_path):
+    """Parts, rows of an odd number of bytes, several videos, an unreadable frame; order within files."""
+    import os
+
+    f, data = make_frames(spark, 23, 5, 3, "a", skip=(4,))
+    g, other = make_frames(spark, 7, 4, 2, "b", seed=2)
+    path = str(tmp_path / "out")
+    frame_sources.write_avi(f.unionByName(g).repartition(5), path, 20.0, part_bytes=300)
+    back = frame_sources.read_avi(spark, path).withColumns({"v": F.regexp_extract("video_id", "video_id=(.)", 1), "part": F.regexp_extract("video_id", r"part=(\d+)", 1).cast("int")})
+    rows = back.orderBy("v", "part", "fn").collect()
+    assert len({r["part"] for r in rows if r["v"] == "a"}) > 2
+    assert [bytes(r["data"]) for r in rows if r["v"] == "a"] == [d.tobytes() for d in data if d is not None]
+    assert [bytes(r["data"]) for r in rows if r["v"] == "b"] == [d.tobytes() for d in other]
+    heads = frame_sources.read_avi_metadata(spark, path).collect()
+    assert sum(r["declared_frames"] for r in heads) == 29 and {r["fps"] for r in heads} == {20.0}
+    for folder, _, names in os.walk(path):
+        for name in names:
+            if name.endswith(".txt"):
+                content = open(os.path.join(folder, name), "rb").read()
+                assert int.from_bytes(content[4:8], "little") + 8 == len(content) <= 300 + 400
+    with pytest.raises(FileExistsError):
+        frame_sources.write_avi(g, path)
+    frame_sources.write_avi(g, path, overwrite=True)
+    assert frame_sources.read_avi(spark, path).count() == 7
+    with pytest.raises(ValueError):
+        frame_sources.write_avi(f.unionByName(make_frames(spark, 1, 6, 3, "a")[0]), str(tmp_path / "odd"))
+
+
+def test_other_decoder_and_seek(spark, tmp_path):
+    (tmp_path / "x.raw").write_bytes(bytes(range(24)))
+    decode = lambda content: ({"width": 2, "height": 1, "fps": 10.0}, (None if i == 6 else content[i : i + 6] for i in range(0, 24, 6)))
+    f = frame_sources.read_videos(spark, str(tmp_path / "x.raw"), decode)
+    assert [(r["fn"], r["msec"], r["data"] and r["data"][0]) for r in f.orderBy("fn").collect()] == [(0, 0.0, 0), (1, 100.0, None), (2, 200.0, 12), (3, 300.0, 18)]
+    assert [r["fn"] for r in frame_sources.seek(f, 2).collect()] == [2]
+    assert frame_sources.seek(f, 0, 9, "none").count() == 0
+
+
+def test_paths_and_files(spark, tmp_path):
+    from framewell.sources import paths
+
+    f, data = make_frames(spark, 3, 24, 24)
+    one, out = str(tmp_path / "in.avi"), str(tmp_path / "out")
+    open(one, "wb").write(frame_sources.build_avi([d.tobytes() for d in data], 24, 24))
+    with pytest.raises(FileNotFoundError):
+        paths.check(spark, [one, one + "x"])
+    with pytest.raises(ValueError):
+        paths.check(spark, [one], "file:" + one, overwrite=True)
+    tools.undistort_files(spark, f" {one} , {one}", out, images.Undistort(width=16, height=16, alpha=0.5))
+    assert frame_sources.read_avi(spark, out).count() == 6
+    with pytest.raises(FileExistsError):
+        tools.undistort_files(spark, one, out)
+
+
+def test_another_classifier(spark):
+    """Training and scoring take what has step() and classify()."""
+
+    class Mean:
+        seen, total = 0, 0.0
+
+        def step(self, x, target):
+            self.seen, self.total = self.seen + 1, self.total + float(target[0])
+
+        def classify(self, x):
+            return np.full((len(x), 1), self.total / max(self.seen, 1))
+
+    f, _ = make_frames(spark, 30, 24, 24)
+    marks = f.select("video_id", "fn")
+    learned = tools.train(f, marks, Mean())
+    assert learned.seen == 3 * 4 and learned.total == learned.seen
+    assert tools.classify(f, learned).count() == 30
+    assert tools.classify(f, Mean()).count() == 0
+
+
+def test_training_is_the_loop(spark):
+    d = [(i, [float(x) for x in RNG.normal(size=5)], float(i % 2)) for i in range(50)]
+    m, n = (mlp.Model.init((5, 4, 3, 1), seed=2) for _ in range(2))
+    mlp.train(m, spark.createDataFrame(d, "fn bigint, features array<float>, label double").repartition(7), ["fn"])
+    for _, x, t in d:
+        n.step(np.asarray(x, np.float32), np.asarray([t], np.float32))
+    assert all((a == b).all() for a, b in zip(m.weights, n.weights))
+
+
+def test_progress(spark):
+    from framewell.operators import progress
+
+    f, _ = make_frames(spark, 9, 2, 2, skip=(3, 5))
+    passed, seen = progress.observed(f)
+    assert passed.count() == 9
+    assert progress.log(seen) == {"frames": 9, "unreadable": 2, "first_fn": 0, "last_fn": 8}
