@@ -17,6 +17,7 @@ import functools
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -85,6 +86,8 @@ class Bpe:
         if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in file["added_tokens"]):
             raise ValueError(f"{path}: added tokens")
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
+        # What all of them begin with: a text without it has none.
+        self.sign = os.path.commonprefix(list(self.added))
         vocab = model["vocab"]
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.added.items()}
         end, chars = model["end_of_word_suffix"] or "", byte_chars()
@@ -138,7 +141,7 @@ class Bpe:
             return []
         ids: list[int] = []
         at = 0
-        for m in self.special.finditer(text) if self.special and "<|" in text else ():
+        for m in self.special.finditer(text) if self.special and self.sign in text else ():
             self._plain(text[at : m.start()], ids)
             ids.append(self.added[m[0]])
             at = m.end()
@@ -153,7 +156,7 @@ class Bpe:
         """Number of ids of a text without holding them."""
         if not text:
             return 0
-        if "<|" in text:
+        if self.special and self.sign in text:
             return len(self.encode(text))
         return sum(map(len, map(self.held.__getitem__, self.words.findall(self.normalize(text)))))
 
