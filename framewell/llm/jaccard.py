@@ -18,7 +18,8 @@ Two documents link when their sets of distinct word n-grams have a Jaccard simil
 4. Blocks.  Classes that share a prefix n-gram, directly or through others, are one block.  Every link
    lies within a block.  A block of more than `chunk` classes is cut into chunks in order of set size;
    what the chunks' own joins leave outside the block's largest component meets, chunk by chunk, the
-   classes that share a prefix n-gram with it: see _links().
+   classes that share a prefix n-gram with it: see _links().  The texts of blocks' classes, and few
+   others, are shuffled once to get their sets.
 5. Signature trees.  A group builds a tree for each chunk: a leaf entry has its set's token bitmap, a
    node the OR of its entries' bitmaps, and the range of their sizes.  The dual traversal starts at
    the roots and drops a node pair if its size ranges can't link, if the greatest overlap that the
@@ -53,6 +54,8 @@ _OFTEN = 8
 #: Components of a chunk that stand for it among a large block's chunks; it changes the cost, not the result.
 HEADS = 16
 BITS = 2048
+#: Bits of the filter (4 MB) that keeps texts outside blocks from being shuffled; it changes the cost, not the result.
+FILTER_BITS = 1 << 25
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
 
@@ -486,6 +489,22 @@ def _numbered(sized: DataFrame, by: list[str], chunk: int) -> DataFrame:
     return placed.withColumn("chunk", (F.floor(F.col("before") / chunk) + spread).cast("long")).drop("k", "before")
 
 
+def _likely(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of keyed(id, text, cls) that may be among wanted(first, _cls), and few others.
+
+    A bitmap of FILTER_BITS bits of their hashes goes to all tasks, so that most other texts aren't
+    shuffled to be dropped.  Its size is fixed; the fuller it is, the more rows pass in vain, and none
+    is lost.
+    """
+    place = lambda *of: F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place("first", "_cls").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    p = F.bitmap_bit_position(place("id", "cls"))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = keyed.withColumn("_bucket", F.bitmap_bucket_number(place("id", "cls"))).join(F.broadcast(bits), "_bucket")
+    return found.where(F.bit_get(byte, (p % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
 def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame, n: int, similarity: tuple[int, int], chunk: int) -> DataFrame:
     """Spanning links within the blocks.
 
@@ -500,7 +519,7 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     placed = keep(_numbered(sized, ["block"], chunk))
     # The texts of blocks are read once; from here on their sets go along.
     wanted = placed.select(F.col("cls").alias("_cls"), "first").hint("merge")
-    found = keyed.join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).select("text", "cls")
+    found = _likely(keyed, wanted).join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).select("text", "cls")
     # Rows of one id and class meet in a task, which keeps one of them; a second one would only cost.
     sets = keep(found.mapInPandas(lambda it: _kept_sets(it, n), "cls bigint, set binary"))
     with_sets = lambda dealt: dealt.hint("merge").join(sets, "cls")
