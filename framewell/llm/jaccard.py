@@ -19,7 +19,7 @@ Two documents link when their sets of distinct word n-grams have a Jaccard simil
    lies within a block.  A block of more than `chunk` classes is cut into chunks in order of set size;
    what the chunks' own joins leave outside the block's largest component meets, chunk by chunk, the
    classes that share a prefix n-gram with it: see _links().  The texts of blocks' classes, and few
-   others, are shuffled once to get their sets.
+   others, are shuffled once to get their sets, and of the sets those that a step joins.
 5. Signature trees.  A group builds a tree for each chunk: a leaf entry has its set's token bitmap, a
    node the OR of its entries' bitmaps, and the range of their sizes.  The dual traversal starts at
    the roots and drops a node pair if its size ranges can't link, if the greatest overlap that the
@@ -489,19 +489,19 @@ def _numbered(sized: DataFrame, by: list[str], chunk: int) -> DataFrame:
     return placed.withColumn("chunk", (F.floor(F.col("before") / chunk) + spread).cast("long")).drop("k", "before")
 
 
-def _likely(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of keyed(id, text, cls) that may be among wanted(first, _cls), and few others.
+def _likely(rows: DataFrame, by: list[str], wanted: DataFrame, of: list[str]) -> DataFrame:
+    """The rows whose columns `by` may be among the columns `of` of wanted, and few others.
 
-    A bitmap of FILTER_BITS bits of their hashes goes to all tasks, so that most other texts aren't
-    shuffled to be dropped.  Its size is fixed; the fuller it is, the more rows pass in vain, and none
-    is lost.
+    A bitmap of FILTER_BITS bits of their hashes goes to all tasks, so that most other texts or sets
+    aren't shuffled to be dropped.  Its size is fixed; the fuller it is, the more rows pass in vain, and
+    none is lost.
     """
-    place = lambda *of: F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS)) + 1
-    bits = wanted.select(place("first", "_cls").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
+    place = lambda c: F.pmod(F.xxhash64(*c), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place(of).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    p = F.bitmap_bit_position(place("id", "cls"))
+    p = F.bitmap_bit_position(place(by))
     byte = F.conv(F.hex(F.substr("_bits", F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = keyed.withColumn("_bucket", F.bitmap_bucket_number(place("id", "cls"))).join(F.broadcast(bits), "_bucket")
+    found = rows.withColumn("_bucket", F.bitmap_bucket_number(place(by))).join(F.broadcast(bits), "_bucket")
     return found.where(F.bit_get(byte, (p % 8).cast("int")) == 1).drop("_bucket", "_bits")
 
 
@@ -519,10 +519,10 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     placed = keep(_numbered(sized, ["block"], chunk))
     # The texts of blocks are read once; from here on their sets go along.
     wanted = placed.select(F.col("cls").alias("_cls"), "first").hint("merge")
-    found = _likely(keyed, wanted).join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).select("text", "cls")
+    found = _likely(keyed, ["id", "cls"], wanted, ["first", "_cls"]).join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("_cls"))).select("text", "cls")
     # Rows of one id and class meet in a task, which keeps one of them; a second one would only cost.
     sets = keep(found.mapInPandas(lambda it: _kept_sets(it, n), "cls bigint, set binary"))
-    with_sets = lambda dealt: dealt.hint("merge").join(sets, "cls")
+    with_sets = lambda dealt: dealt.hint("merge").join(_likely(sets, ["cls"], dealt, ["cls"]), "cls")
     small, large = placed.where(F.col("m") <= chunk), placed.where(F.col("m") > chunk)
     bins = max(-(-small.count() // (chunk // 2)), 1)
     small = small.select("cls", "block", F.lit(0).alias("side"), F.lit(0).alias("known"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
@@ -564,6 +564,6 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     held = again.select("cls", "block", "label", place.alias("place"))
     left = meets.join(pairs.select("block", "one", "two"), ["block", "one", "two"]).join(held.drop("block", "place"), "cls").withColumn("side", F.lit(0))
     right = pairs.where("one <> two").select("block", "one", "two").join(held.withColumnRenamed("place", "two"), ["block", "two"]).withColumn("side", F.lit(1))
-    dealt = left.select(*columns).unionByName(right.select(*columns))
+    dealt = keep(left.select(*columns).unionByName(right.select(*columns)))
     rest = with_sets(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: _group(g, similarity, True), edges)
     return found.unionByName(rest)
