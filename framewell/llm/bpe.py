@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import as_text
+from framewell.llm.common import as_text, let_go
 
 VOCABULARY = "word_bpe_49k.json"
 #: White space as Unicode defines it.
@@ -61,10 +61,15 @@ class Held(dict):
         if len(word) <= _LONGEST_HELD:
             if len(self) >= _WORDS_HELD:
                 self.old = dict(self)
-                self.clear()
+                super().clear()
             self[word] = found
         return found
 
+    def clear(self) -> None:
+        """Hold nothing."""
+        self.old = {}
+        super().clear()
+
 
 class Bpe:
     """A vocabulary file with byte-level characters and word ends."""
@@ -212,5 +217,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, id_col, b[id_col].array)
             yield out
+        bpe.held.clear()  # workers are used again by other stages
+        let_go()
 
     return back(sent.mapInPandas(work, f"`{id_col}` string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

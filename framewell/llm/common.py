@@ -1,5 +1,7 @@
 """What the operators share: tables kept in the folder that all executors see, words, ids on their way to Python."""
 
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,20 @@ def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def let_go(result=None):
+    """Give what this Python worker has freed back to the system, and pass `result` on.
+
+    Workers live on between tasks and stages, and what their allocators hold counts against the executor.
+    """
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+    return result
+
+
 def as_text(df: DataFrame, *columns: str):
     """df with the columns as strings, and what turns a result's columns of those names back.
 

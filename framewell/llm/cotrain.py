@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewell.llm.common import as_text
+from framewell.llm.common import as_text, let_go
 
 LABELLED, TAUGHT, ROUNDS, SLICES = 4000, 200, 2, 64
 #: What a model must be sure of to teach it, and how often it must have been right where it was.
@@ -249,6 +249,8 @@ def _surest(docs: DataFrame, models: dict, may: dict, apart: frozenset, taught:
         rows = [(view, c, int(key), *row) for (view, c), held in best.items() for key, row in held.items()]
         _buckets.clear()  # workers are used again by other stages
         yield pd.DataFrame(rows, columns=["view", "cls", "key", "p", "tie", "t", "m"])
+        best.clear()
+        let_go()
 
     sent = docs.selectExpr("coalesce(cast(doc_id as string), '') as doc_id", *_COLUMNS, "xxhash64(coalesce(text, '')) as key", "xxhash64(doc_id, lang, source, n_chars) as tie")
     found = sent.mapInPandas(work, "view string, cls int, key bigint, p double, tie bigint, t binary, m binary")
@@ -284,6 +286,7 @@ def score(docs: DataFrame, model: CoTrained, keep_at: float = 0.5, columns: tupl
             out["keep"] = p[:, 2] >= keep_at
             yield out
         _buckets.clear()  # workers are used again by other stages
+        let_go()
 
     sent, back = as_text(docs.selectExpr(*(f"`{c}`" for c in columns), *_COLUMNS), *columns)
     return back(sent.mapInPandas(work, ", ".join(f"`{c}` string" for c in columns) + ", p_text double, p_meta double, score double, keep boolean"))

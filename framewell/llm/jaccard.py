@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewell.llm.common import keep
+from framewell.llm.common import keep, let_go
 from framewell.llm.graph import connected_components
 
 N, SIMILARITY = 5, (75, 100)
@@ -140,6 +140,7 @@ def _distinct(batches: Iterator[pd.DataFrame], n: int, most: int) -> Iterator[tu
     if cls:
         yield cls, sets
     _words.clear()  # workers are used again by other stages
+    let_go()
 
 
 def _often(batches: Iterator[pd.DataFrame], n: int, most: int) -> Iterator[pd.DataFrame]:
@@ -394,6 +395,7 @@ def _kept_sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame
                 rows.append((c, shingles(text, n).tobytes()))
         yield pd.DataFrame(rows, columns=["cls", "set"])
     _words.clear()  # workers are used again by other stages
+    let_go()
 
 
 def _sets(b: pd.DataFrame) -> list[tuple[int, np.ndarray, int]]:
@@ -455,8 +457,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = np.sort(np.array([r[0] for r in often], np.int64).astype(np.uint64))
 
     packed = texts.mapInPandas(lambda it: _pack(it, n, parts, 1 << 20, frequent, similarity), "part int, data binary, owners int, grams int")
-    counted = packed.groupBy("part").applyInPandas(lambda b: _count(b, parts), "to int, part int, data binary, owners int, grams int")
-    known = keep(counted.groupBy("to").applyInPandas(lambda b: _prefix(b, similarity), "cls bigint, n bigint, grams array<bigint>"))
+    counted = packed.groupBy("part").applyInPandas(lambda b: let_go(_count(b, parts)), "to int, part int, data binary, owners int, grams int")
+    known = keep(counted.groupBy("to").applyInPandas(lambda b: let_go(_prefix(b, similarity)), "cls bigint, n bigint, grams array<bigint>"))
 
     grams = known.where(F.size("grams") > 0).select("cls", F.explode("grams").alias("gram"))
     least = grams.groupBy("gram").agg(F.min("cls").alias("least"), F.count("*").alias("k")).where("k > 1")
@@ -526,11 +528,11 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     small, large = placed.where(F.col("m") <= chunk), placed.where(F.col("m") > chunk)
     bins = max(-(-small.count() // (chunk // 2)), 1)
     small = small.select("cls", "block", F.lit(0).alias("side"), F.lit(0).alias("known"), F.pmod(F.xxhash64("block"), F.lit(bins)).alias("bin"))
-    found = with_sets(small).groupBy("bin").applyInPandas(lambda g: _group(g, similarity), edges)
+    found = with_sets(small).groupBy("bin").applyInPandas(lambda g: let_go(_group(g, similarity)), edges)
     if large.isEmpty():
         return found
 
-    inside = with_sets(large.select("cls", "block", "chunk")).groupBy("block", "chunk").applyInPandas(lambda g: _label(g, similarity), "cls bigint, label bigint")
+    inside = with_sets(large.select("cls", "block", "chunk")).groupBy("block", "chunk").applyInPandas(lambda g: let_go(_label(g, similarity)), "cls bigint, label bigint")
     inside = keep(inside)
     large = large.join(inside, "cls")
     found = found.unionByName(inside.select(F.col("cls").alias("src"), F.col("label").alias("dst")))
@@ -539,7 +541,7 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     first = per.withColumn("rank", F.row_number().over(Window.partitionBy("block", "chunk").orderBy(F.desc("c"), "label"))).where(F.col("rank") <= HEADS)
     groups = per.groupBy("block").agg(F.max("chunk").alias("last"))
     heads = first.join(groups, "block").select(F.col("label").alias("cls"), "block", F.pmod(F.xxhash64("chunk"), F.floor((F.col("last") + 1) * HEADS / chunk) + 1).alias("bin"), F.lit(0).alias("side"), F.lit(0).alias("known"))
-    met = with_sets(heads).groupBy("block", "bin").applyInPandas(lambda g: _group(g, similarity), edges)
+    met = with_sets(heads).groupBy("block", "bin").applyInPandas(lambda g: let_go(_group(g, similarity)), edges)
     met = keep(met)
     found = found.unionByName(met)
 
@@ -565,5 +567,5 @@ def _links(keyed: DataFrame, of: DataFrame, known: DataFrame, blocks: DataFrame,
     left = meets.join(pairs.select("block", "one", "two"), ["block", "one", "two"]).join(held.drop("block", "place"), "cls").withColumn("side", F.lit(0))
     right = pairs.where("one <> two").select("block", "one", "two").join(held.withColumnRenamed("place", "two"), ["block", "two"]).withColumn("side", F.lit(1))
     dealt = keep(left.select(*columns).unionByName(right.select(*columns)))
-    rest = with_sets(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: _group(g, similarity, True), edges)
+    rest = with_sets(dealt).groupBy("block", "one", "two").applyInPandas(lambda g: let_go(_group(g, similarity, True)), edges)
     return found.unionByName(rest)
