@@ -167,7 +167,7 @@ def preview(spark, sf_dir):
 def avi_round_trip(spark, sf_dir):
     path = shared_dir(spark)
     frame_sources.write_avi(fixtures.frames(spark, sf_dir), path, part_bytes=2**24)
-    return _pixels(frame_sources.read_avi(spark, path), "fn")
+    return _pixels(frame_sources.read_avi(spark, path, joined=True), "fn")
 
 
 def avi_metadata(spark, sf_dir):

@@ -162,9 +162,34 @@ def read_videos(spark: SparkSession, path: str, decode: Decoder) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(work, FRAMES)
 
 
-def read_avi(spark: SparkSession, path: str) -> DataFrame:
-    """frames of uncompressed AVI files; video_id is the path."""
-    return read_videos(spark, path, parse_avi)
+def read_avi(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
+    """frames of uncompressed AVI files; video_id is the path.
+
+    With `joined`, path is a folder of `write_avi`: video_id is what was written, and the frames of a video's
+    parts are numbered one after another, unreadable ones included.
+    """
+    frames = read_videos(spark, path, parse_avi)
+    if not joined:
+        return frames
+    from pyspark.sql import Window
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [parse_avi(x) for x in b["content"]]
+            yield pd.DataFrame({"path": b["path"].array, "video": b["video_id"].array, "part": b["part"].array, "n": [len(x) for _, x in found], "fps": [h["fps"] for h, _ in found]})
+
+    parts = _parts(spark, path).mapInPandas(work, "path string, video string, part int, n bigint, fps double")
+    before = F.sum("n").over(Window.partitionBy("video").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(F.col("path").alias("_path"), F.col("video").alias("_video"), "fps", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each file
+    fn = F.col("fn") + F.col("_start")
+    msec = F.when(F.col("fps") != 0, fn * 1000.0 / F.col("fps")).otherwise(0.0)
+    return frames.join(F.broadcast(starts), F.col("video_id") == F.col("_path")).select(F.col("_video").alias("video_id"), fn.alias("fn"), msec.alias("msec"), "width", "height", "data")
+
+
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """path, content, video_id and part of the files of `write_avi`; an empty id is a folder without a value."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary, video_id string, part int"
+    return spark.read.format("binaryFile").schema(schema).load(path).select("path", "content", F.coalesce("video_id", F.lit("")).alias("video_id"), "part")
 
 
 def read_avi_metadata(spark: SparkSession, path: str) -> DataFrame:

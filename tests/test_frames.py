@@ -284,6 +284,33 @@ def test_avi_sink(spark, tmp_path):
         frame_sources.write_avi(f.unionByName(make_frames(spark, 1, 6, 3, "a")[0]), str(tmp_path / "odd"))
 
 
+def test_avi_parts_joined(spark, tmp_path):
+    """More than ten parts, ids that look like numbers or need escaping or are empty, an unreadable frame left out."""
+    f, data = make_frames(spark, 23, 5, 3, "007", skip=(4,))
+    g, other = make_frames(spark, 7, 4, 2, "a/b=c d", seed=2)
+    h, empty = make_frames(spark, 3, 4, 2, "", seed=3)
+    path = str(tmp_path / "out")
+    frame_sources.write_avi(f.unionByName(g).unionByName(h).repartition(5), path, 20.0, part_bytes=120)
+    assert frame_sources.read_avi(spark, path).where("fn = 0").count() > 13
+    rows = frame_sources.read_avi(spark, path, joined=True).orderBy("video_id", "fn").collect()
+    for video, held in (("007", [d for d in data if d is not None]), ("a/b=c d", other), ("", empty)):
+        assert [(r["fn"], r["msec"], bytes(r["data"])) for r in rows if r["video_id"] == video] == [(i, 50.0 * i, d.tobytes()) for i, d in enumerate(held)]
+    assert len(rows) == 32
+
+
+def test_avi_queries_beyond_one_file(spark, monkeypatch):
+    """With more than a file's frames the queries still give one video, numbered throughout."""
+    from framewell import queries
+    from framewell.sources import fixtures
+
+    write = frame_sources.write_avi
+    monkeypatch.setattr(frame_sources, "write_avi", lambda frames, path, part_bytes: write(frames, path, part_bytes=9000))
+    sf_dir = "/root/testdata/sf0.001"
+    expected = fixtures.pixels(spark, sf_dir).drop("video_id")
+    found = queries.avi_round_trip(spark, sf_dir)
+    assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
+
+
 def test_other_decoder_and_seek(spark, tmp_path):
     (tmp_path / "x.raw").write_bytes(bytes(range(24)))
     decode = lambda content: ({"width": 2, "height": 1, "fps": 10.0}, (None if i == 6 else content[i : i + 6] for i in range(0, 24, 6)))
