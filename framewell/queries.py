@@ -173,7 +173,7 @@ def avi_round_trip(spark, sf_dir):
 def avi_metadata(spark, sf_dir):
     path = shared_dir(spark)
     frame_sources.write_avi(fixtures.frames(spark, sf_dir), path, part_bytes=2**24)
-    return frame_sources.read_avi_metadata(spark, path).drop("video_id")
+    return frame_sources.read_avi_metadata(spark, path, joined=True).drop("video_id")
 
 
 def seek(spark, sf_dir):

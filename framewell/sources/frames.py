@@ -192,15 +192,19 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").schema(schema).load(path).select("path", "content", F.coalesce("video_id", F.lit("")).alias("video_id"), "part")
 
 
-def read_avi_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """videos: a row of container metadata for each file."""
+def read_avi_metadata(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
+    """videos: a row of container metadata for each file; with `joined`, for each video of a folder of `write_avi`."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             heads = [parse_avi(x)[0] for x in b["content"]]
             yield pd.DataFrame({"video_id": b["path"].array, "fourcc": [x["fourcc"] for x in heads], "width": [x["width"] for x in heads], "height": [x["height"] for x in heads], "fps": [x["fps"] for x in heads], "format": 0, "iso_speed": 0, "declared_frames": [x["declared_frames"] for x in heads]})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(work, VIDEOS)
+    if not joined:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(work, VIDEOS)
+    parts = _parts(spark, path).select(F.col("video_id").alias("path"), "content").mapInPandas(work, VIDEOS)
+    alike = [c for c in parts.columns if c != "declared_frames"]
+    return parts.groupBy(*alike).agg(F.sum("declared_frames").alias("declared_frames"))
 
 
 def seek(frames: DataFrame, fn: int, n: int = 1, video_id: str | None = None) -> DataFrame:

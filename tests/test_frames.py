@@ -296,6 +296,8 @@ def test_avi_parts_joined(spark, tmp_path):
     for video, held in (("007", [d for d in data if d is not None]), ("a/b=c d", other), ("", empty)):
         assert [(r["fn"], r["msec"], bytes(r["data"])) for r in rows if r["video_id"] == video] == [(i, 50.0 * i, d.tobytes()) for i, d in enumerate(held)]
     assert len(rows) == 32
+    heads = frame_sources.read_avi_metadata(spark, path, joined=True).collect()
+    assert sorted((r["video_id"], r["width"], r["height"], r["fps"], r["declared_frames"]) for r in heads) == [("", 4, 2, 20.0, 3), ("007", 5, 3, 20.0, 22), ("a/b=c d", 4, 2, 20.0, 7)]
 
 
 def test_avi_queries_beyond_one_file(spark, monkeypatch):
@@ -306,6 +308,7 @@ def test_avi_queries_beyond_one_file(spark, monkeypatch):
     write = frame_sources.write_avi
     monkeypatch.setattr(frame_sources, "write_avi", lambda frames, path, part_bytes: write(frames, path, part_bytes=9000))
     sf_dir = "/root/testdata/sf0.001"
+    assert [tuple(r) for r in queries.avi_metadata(spark, sf_dir).collect()] == [(0, 24, 24, 25.0, 0, 0, 55)]
     expected = fixtures.pixels(spark, sf_dir).drop("video_id")
     found = queries.avi_round_trip(spark, sf_dir)
     assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
