@@ -77,6 +77,40 @@ def test_chunked_counts_are_whole_counts(library):
         assert token_count.count(library, text, rng.choice([8, 16, 40]), rng.choice([2, 4, 8])) == whole
 
 
+def test_counts_without_the_normalizer(library):
+    """Where the normalizer is left out, each character, their neighbourhoods, white space and special strings count as the library has it."""
+    path = bpe.default_path()
+    bare, _ = token_count.load_bare(path)
+    space = re.compile(r"[ \t-\r\x85\xa0]+")
+    for c in filter(token_count._STABLE.fullmatch, map(chr, range(0x10000))):
+        assert space.sub(" ", c.lower()) == library.normalizer.normalize_str(c)
+    rng = random.Random(6)
+    stable = [*filter(token_count._STABLE.fullmatch, map(chr, range(0x2100)))]
+    some = list("aAzZ '\u2019\u0130\u0131\xdf\xb5\u01c5\u023a \n\t\x0b\x1c\x1f\x85\xa0\xad12\xbd.,<|>") + ["it's", "WE'LL", "  ", "<|ENDOFTEXT|>", "<|endoftext|", "word ", "Stream "]
+    texts = ["".join(rng.choice(rng.choice((some, stable))) for _ in range(rng.randint(0, 150))) for _ in range(1500)]
+    used = 0
+    for text in [*texts, *random_texts(300, 9), "<|endoftext|>", "a<|ENDOFTEXT|>b", "e\u0301 E\u0301", "\u03a3\u0391\u03a3", "\u2000a\u2028b"]:
+        t, form = token_count.prepared(path, text)
+        used += t is bare
+        whole = library.encode(text, add_special_tokens=False).ids
+        assert t.encode(form, add_special_tokens=False).ids == whole
+        assert token_count.count(t, form) == token_count.count(t, form, 16, 4) == len(whole)
+    assert used > 500  # many hold a special string
+    assert [token_count.prepared(path, x)[0] is bare for x in ("Plain", "<|ENDOFTEXT|>", "e\u0301", "\u03a3", "\u2000")] == [True, False, False, False, False]
+
+
+def test_bare_only_for_known_steps(tmp_path):
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    assert token_count.load_bare(path) is None and token_count.prepared(path, "Plain") == (token_count.load(path), "Plain")
+
+
 def test_token_counts(spark, library):
     found = {r["doc_id"]: r for r in token_count.token_counts(docs(spark), chunk=4096, overlap=64).collect()}
     for i, text, *_ in ROWS:
